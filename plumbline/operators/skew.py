@@ -26,19 +26,20 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     return warm.unionByName(cold)
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, buckets: int, out: str) -> DataFrame:
-    """0-based rank of each row within ``keys``, without ever gathering one key in one task.
+def salted_sum(
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str, value: Column | None = None
+) -> DataFrame:
+    """Sum of ``value`` (by default 1 a row: the 0-based rank) over the rows before each row within ``keys``.
 
-    Rows of a key are spread over ``buckets`` by ``salt`` (an integer column that is a function of the row). The rank
-    is the rank within (key, bucket) plus the rows in earlier buckets; it orders by bucket first and is deterministic
-    if ``order`` is total within a key and bucket.
+    No key is gathered in one task: rows are spread by ``bucket``, an integer function of the row, and the order is by
+    bucket first, then by ``order``. Deterministic if ``order`` is total within a key and bucket. Null keys are a group.
     """
-    b = df.withColumn("__b", F.pmod(salt, F.lit(buckets)).cast("int"))
-    sizes = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__n")
-    ).drop("__n")
-    local = b.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)) - 1)
+    v = F.lit(1) if value is None else value
+    b = df.withColumn("__b", bucket.cast("int")).withColumn("__v", v)
+    sizes = b.groupBy(*keys, "__b").agg(F.sum("__v").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__n"))
+    local = b.withColumn("__r", F.sum("__v").over(
+        Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v"))
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__b"]]
-    joined = local.alias("l").join(before.alias("s"), cond, "inner")
-    return joined.select("l.*", (F.col("__before") + F.col("__r")).cast("long").alias(out)).drop("__b", "__r")
+    joined = local.alias("l").join(before.drop("__n").alias("s"), cond, "inner")
+    return joined.select("l.*", (F.col("__before") + F.col("__r")).alias(out)).drop("__b", "__r", "__v")
