@@ -1 +1,5 @@
-"""Plans of the core library."""
+"""The registered queries of the core, by family."""
+
+
+def modules() -> list:
+    return []
