@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import pairs, quota, related
+from plumbline.llm import pairs, quota, related, sentences
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "p4_found": quota.p4_found,
         "p4_sample": quota.p4_sample,
         "p4_report": quota.p4_report,
+        "p8_found": sentences.p8_found,
+        "p8_units": sentences.p8_units,
     }
 
 
