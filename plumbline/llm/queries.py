@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import leakage, pairs, quota, related, sentences
+from plumbline.llm import leakage, overlap, pairs, quota, related, sentences
 
 
 def queries():
@@ -14,6 +14,9 @@ def queries():
         "p4_found": quota.p4_found,
         "p4_sample": quota.p4_sample,
         "p4_report": quota.p4_report,
+        "p5_found": overlap.p5_found,
+        "p5_report": overlap.p5_report,
+        "p5_coverage": overlap.p5_coverage,
         "p7_found": leakage.p7_found,
         "p7_item_report": leakage.p7_item_report,
         "p7_clean": leakage.p7_clean,
