@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import leakage, overlap, pairs, quota, related, sentences
+from plumbline.llm import consensus, leakage, overlap, pairs, quota, related, sentences
 
 
 def queries():
     return {
         "p1_found": pairs.p1_found,
         "p1_defect_counts": pairs.p1_defect_counts,
+        "p2_found": consensus.p2_found,
+        "p2_consensus": consensus.p2_consensus,
+        "p2_reviewers": consensus.p2_reviewers,
         "p3_found": related.p3_found,
         "p3_splits": related.p3_splits,
         "p4_found": quota.p4_found,
