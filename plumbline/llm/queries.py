@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import consensus, leakage, overlap, pairs, quota, related, sentences
+from plumbline.llm import consensus, leakage, overlap, packing, pairs, quota, related, sentences
 
 
 def queries():
@@ -20,6 +20,8 @@ def queries():
         "p5_found": overlap.p5_found,
         "p5_report": overlap.p5_report,
         "p5_coverage": overlap.p5_coverage,
+        "p6_packing": packing.p6_packing,
+        "p6_report": packing.p6_report,
         "p7_found": leakage.p7_found,
         "p7_item_report": leakage.p7_item_report,
         "p7_clean": leakage.p7_clean,
