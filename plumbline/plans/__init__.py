@@ -2,4 +2,6 @@
 
 
 def modules() -> list:
-    return []
+    from plumbline.plans import consistency
+
+    return [consistency]
