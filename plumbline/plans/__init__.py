@@ -2,6 +2,6 @@
 
 
 def modules() -> list:
-    from plumbline.plans import consistency
+    from plumbline.plans import consistency, evaluation
 
-    return [consistency]
+    return [consistency, evaluation]
