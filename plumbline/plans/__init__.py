@@ -2,6 +2,6 @@
 
 
 def modules() -> list:
-    from plumbline.plans import consistency, evaluation
+    from plumbline.plans import consistency, evaluation, ordered, texts
 
-    return [consistency, evaluation]
+    return [consistency, evaluation, ordered, texts]
