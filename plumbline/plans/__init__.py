@@ -2,6 +2,6 @@
 
 
 def modules() -> list:
-    from plumbline.plans import consistency, evaluation, ordered, texts
+    from plumbline.plans import consistency, evaluation, flows, ordered, structures, texts
 
-    return [consistency, evaluation, ordered, texts]
+    return [consistency, evaluation, flows, ordered, structures, texts]
