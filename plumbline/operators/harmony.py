@@ -99,25 +99,32 @@ def _inputs(edges: DataFrame, claims: DataFrame, evidence: DataFrame | None):
 
 
 def _kernel(edges: DataFrame, claims: DataFrame, evidence: DataFrame | None, finish, schema: str) -> DataFrame:
+    """Solve the small documents, one row of arrays each; ``finish(doc_id, claims, solution)`` gives a frame."""
     c, size = _inputs(edges, claims, evidence)
     small = size.where(F.col("n") <= DENSE).select("doc_id")
-    rows = c.join(small, "doc_id", "left_semi").select(
-        "doc_id", "claim_id", "kind", "fixed", F.lit(None).cast("int").alias("b"), F.lit(None).cast("int").alias("sign"),
-        F.lit(None).cast("double").alias("weight")).unionByName(
-        edges.join(small, "doc_id", "left_semi").select(
-            "doc_id", F.col("a").alias("claim_id"), F.lit(None).cast("string").alias("kind"),
-            F.lit(None).cast("boolean").alias("fixed"), "b", "sign", "weight"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf[pdf["kind"].notna()].sort_values("claim_id")
-        at = {v: i for i, v in enumerate(nodes["claim_id"])}
-        e = pdf[pdf["kind"].isna()]
-        a, b = (np.array([at[v] for v in e[k]], int) for k in ("claim_id", "b"))
-        got = solve_document(nodes["kind"].to_numpy(str), nodes["fixed"].to_numpy(bool), a, b,
-                             e["sign"].to_numpy(float), e["weight"].to_numpy(float))
-        return finish(key[0], nodes["claim_id"].to_numpy(), got)
-
-    return rows.groupBy("doc_id").applyInPandas(run, schema)
+    nodes = c.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("claim_id", "kind", "fixed"))).alias("nodes"))
+    lines = edges.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.collect_list(F.struct("a", "b", "sign", "weight")).alias("lines"))
+    cols = [F.col(f"nodes.{k}").alias(k) for k in ("claim_id", "kind", "fixed")] + [
+        F.coalesce(F.col(f"lines.{k}"), F.array().cast(f"array<{t}>")).alias(k)
+        for k, t in (("a", "int"), ("b", "int"), ("sign", "double"), ("weight", "double"))
+    ]
+    rows = nodes.join(lines, "doc_id", "left").select("doc_id", *cols)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                ids = np.asarray(r.claim_id)
+                a, b = (np.searchsorted(ids, np.asarray(x)).astype(int) for x in (r.a, r.b))
+                got = solve_document(np.asarray(r.kind, str), np.asarray(r.fixed, bool), a, b,
+                                     np.asarray(r.sign, float), np.asarray(r.weight, float))
+                out.append(finish(r.doc_id, ids, got))
+            if out:
+                yield pd.DataFrame({k: np.concatenate([o[k] for o in out]) for k in out[0]})
+
+    return rows.mapInPandas(run, schema)
 
 
 def conjugate_gradients(edges: DataFrame, claims: DataFrame, rounds: int = 200) -> DataFrame:
@@ -188,7 +195,8 @@ def assignments(edges: DataFrame, claims: DataFrame, evidence: DataFrame | None
     schema = f"doc_id {dict(claims.dtypes)['doc_id']}, claim_id int, x double, residual double, scale double"
 
     def finish(doc, ids, got):
-        return pd.DataFrame({"doc_id": doc, "claim_id": ids, "x": got["x"], "residual": got["residual"], "scale": got["scale"]})
+        n = len(ids)
+        return {"doc_id": [doc] * n, "claim_id": ids, "x": got["x"], "residual": got["residual"], "scale": [got["scale"]] * n}
 
     out = _kernel(edges, claims, evidence, finish, schema)
     large = _large(edges, claims, evidence)
@@ -208,9 +216,9 @@ def harmony(edges: DataFrame, claims: DataFrame, evidence: DataFrame | None = No
     schema = f"doc_id {dict(claims.dtypes)['doc_id']}, harmony double, conflict double, anchored int"
 
     def finish(doc, ids, got):
-        return pd.DataFrame({"doc_id": [doc], "harmony": [got["harmony"]], "conflict": [got["conflict"]], "anchored": [got["anchored"]]})
+        return {"doc_id": [doc], "harmony": np.array([got["harmony"]], float), "conflict": [got["conflict"]], "anchored": [got["anchored"]]}
 
-    out = _kernel(edges, claims, evidence, finish, schema)
+    out = _kernel(edges, claims, evidence, finish, schema).withColumn("harmony", F.nanvl("harmony", F.lit(None)))
     large = _large(edges, claims, evidence)
     if large is not None:
         er, claimed = large

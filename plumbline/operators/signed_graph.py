@@ -85,18 +85,24 @@ def signed_laplacian(edges: DataFrame) -> DataFrame:
     return whole.groupBy("doc_id", "row", "col").agg(F.sum("value").alias("value"))
 
 
-def _node(claim: str, parity: Column | int = 0) -> Column:
+def _key(claim: str, parity: Column | int = 0) -> Column:
+    """Document, claim and parity as one string that orders like them (documents may be of any type)."""
     p = F.lit(parity) if isinstance(parity, int) else parity
-    return F.struct(F.col("doc_id").alias("doc"), F.col(claim).alias("claim"), p.cast("int").alias("parity"))
+    return F.concat_ws("|", F.col("doc_id").cast("string"), F.lpad(F.col(claim).cast("string"), 10, "0"), p.cast("string"))
+
+
+def _unkey(edges: DataFrame, key: str) -> tuple[Column, Column, Column]:
+    kind = dict(edges.dtypes)["doc_id"]
+    doc = F.regexp_extract(key, r"^(.*)\|[0-9]+\|[01]$", 1)
+    claim = F.element_at(F.split(key, r"\|"), -2).cast("int")
+    return doc.cast(kind), claim, F.right(F.col(key), F.lit(1)).cast("int")
 
 
 def components(edges: DataFrame, claims: DataFrame) -> DataFrame:
     """``(doc_id, claim_id, component)``: the smallest claim connected to each claim; a lone claim is its own."""
-    cc = connected_components(edges.select(_node("a").alias("u"), _node("b").alias("v")))
-    cc = cc.select(
-        F.col("node.doc").alias("doc_id"), F.col("node.claim").alias("claim_id"),
-        F.col("component.claim").alias("component"),
-    )
+    cc = connected_components(edges.select(_key("a").alias("u"), _key("b").alias("v")))
+    doc, claim, _ = _unkey(edges, "node")
+    cc = cc.select(doc.alias("doc_id"), claim.alias("claim_id"), _unkey(edges, "component")[1].alias("component"))
     return claims.select("doc_id", "claim_id").join(cc, ["doc_id", "claim_id"], "left").withColumn(
         "component", F.coalesce("component", "claim_id"))
 
@@ -104,15 +110,17 @@ def components(edges: DataFrame, claims: DataFrame) -> DataFrame:
 def double_cover(edges: DataFrame) -> DataFrame:
     """Edges between (document, claim, parity); a negative edge changes the parity."""
     flip = F.when(F.col("sign") < 0, 1).otherwise(0)
-    return edges.select(_node("a", 0).alias("u"), _node("b", flip).alias("v")).unionByName(
-        edges.select(_node("a", 1).alias("u"), _node("b", 1 - flip).alias("v")))
+    return edges.select(_key("a", 0).alias("u"), _key("b", flip).alias("v")).unionByName(
+        edges.select(_key("a", 1).alias("u"), _key("b", 1 - flip).alias("v")))
 
 
 def unbalanced_claims(edges: DataFrame) -> DataFrame:
     """``(doc_id, claim_id)`` of the claims whose component no two-colouring fits: both parities are connected."""
     cc = connected_components(double_cover(edges))
-    both = cc.select("node.doc", "node.claim", "component").groupBy("doc", "claim", "component").agg(F.count("*").alias("n"))
-    return both.where("n = 2").select(F.col("doc").alias("doc_id"), F.col("claim").alias("claim_id"))
+    both = cc.groupBy(F.expr("substring(node, 1, length(node) - 1)").alias("c"), "component").agg(F.count("*").alias("n"))
+    both = both.where("n = 2").select(F.concat("c", F.lit("0")).alias("node"))
+    doc, claim, _ = _unkey(edges, "node")
+    return both.select(doc.alias("doc_id"), claim.alias("claim_id"))
 
 
 def frustrated_cycle_lengths(edges: DataFrame, limit: int = 64) -> DataFrame:
@@ -122,10 +130,9 @@ def frustrated_cycle_lengths(edges: DataFrame, limit: int = 64) -> DataFrame:
     """
     bad = unbalanced_claims(edges)
     docs = edges.join(bad.select("doc_id").distinct(), "doc_id", "left_semi")
-    start = bad.select(_node("claim_id", 0).alias("source"))
-    hops = hop_distances(both_ways(double_cover(docs)), start, limit)
-    back = hops.where("source.claim = node.claim and source.doc = node.doc and node.parity = 1")
-    return back.groupBy(F.col("source.doc").alias("doc_id")).agg(F.min("hops").alias("length"))
+    hops = hop_distances(both_ways(double_cover(docs)), bad.select(_key("claim_id", 0).alias("source")), limit)
+    back = hops.where("node = concat(substring(source, 1, length(source) - 1), '1')")
+    return back.groupBy(_unkey(edges, "source")[0].alias("doc_id")).agg(F.min("hops").alias("length"))
 
 
 def residual_ranking(residuals: DataFrame, least: Column, top: int = 3) -> DataFrame:
