@@ -201,7 +201,7 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     third of all items have is never gathered.
     """
     spark = sizes.sparkSession
-    caps = {r[0]: int(r[1]) for r in capacities.dropna().where("capacity_tokens > 0").orderBy("capacity_id").collect()}
+    caps = {r[0]: int(r[1]) for r in capacities.select("capacity_id", "capacity_tokens").dropna().where("capacity_tokens > 0").orderBy("capacity_id").collect()}
     schema = "capacity_id int, container_id long, position int, start int, doc_id long, piece int, first_token long, tokens int"
     if not caps:
         return spark.createDataFrame([], schema)

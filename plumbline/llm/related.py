@@ -27,8 +27,8 @@ def label_key(c: Column) -> Column:
 
 def latest_records(records: DataFrame) -> DataFrame:
     """One row per record: the one exported last, with its base key. Records without an id are dropped."""
-    cols = [c for c in records.columns if c not in ("record_id",)]
-    last = F.max_by(F.struct(*cols), F.col("exported_at"))
+    cols = [c for c in records.columns if c != "record_id"]
+    last = F.max_by(F.struct(*cols), F.struct(F.col("exported_at"), F.hash(*cols)))
     one = records.where("record_id is not null").groupBy("record_id").agg(last.alias("x")).select("record_id", "x.*")
     return one.withColumn("base", base_key(F.col("base_id")))
 
@@ -78,13 +78,13 @@ def stratified_splits(records: DataFrame, plan: DataFrame, labels: list[str]) ->
     """
     r = latest_records(records)
     g = stage(group_records(r).select("record_id", "group_id"))
-    want = {x["split"]: float(x["share_pct"]) for x in plan.dropna().collect()}
+    want = {x["split"]: float(x["share_pct"]) for x in plan.select("split", "share_pct").dropna().distinct().collect()}
     whole = sum(want.values())
     shares = {s: p / whole for s, p in sorted(want.items())}
     marks = F.explode(F.array_compact(F.array(
         F.lit("all"), *[F.concat(F.lit(f"{c}="), label_key(F.col(c).cast("string"))) for c in labels])))
     long = stage(
-        r.join(g, "record_id").select("group_id", marks.alias("label")).groupBy("group_id", "label").agg(
+        r.select("record_id", *labels).join(g, "record_id").select("group_id", marks.alias("label")).groupBy("group_id", "label").agg(
             F.count("*").alias("n"))
     )
     totals = {x["label"]: x["n"] for x in long.groupBy("label").agg(F.sum("n").alias("n")).collect()}
