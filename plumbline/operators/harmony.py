@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import stage
+from plumbline.session import stage, unstage
 
 MU = 1.0
 #: Documents with more claims are solved by distributed conjugate gradients.
@@ -156,8 +156,10 @@ def conjugate_gradients(edges: DataFrame, claims: DataFrame, rounds: int = 200)
             "doc_id", "claim_id", "pull", "deg", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"),
             (F.col("r") - F.col("alpha") * F.col("q")).alias("r"), "p", "rr")
         moved = stage(moved, drop=cur)
+        unstage(q)
         beta = moved.groupBy("doc_id").agg((F.sum(F.col("r") * F.col("r")) / F.nullif(F.max("rr"), F.lit(0.0))).alias("beta"),
                                            F.sum(F.col("r") * F.col("r")).alias("now"))
+        beta = stage(beta)
         cur = stage(moved.join(beta, "doc_id").select("doc_id", "claim_id", "pull", "deg", "x", "r", (
             F.col("r") + F.coalesce("beta", F.lit(0.0)) * F.col("p")).alias("p")), drop=moved)
         worst = beta.agg(F.max("now")).first()[0]
