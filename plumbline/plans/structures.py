@@ -25,7 +25,7 @@ def graph(spark, d):
 
 
 def sources(spark, d):
-    return table(spark, d, "supplier").where("s_nationkey = 1").select((F.col("s_suppkey") * 2 + 1).alias("source"))
+    return table(spark, d, "supplier").where("s_acctbal > 6000").select((F.col("s_suppkey") * 2 + 1).alias("source"))
 
 
 @q("gm1_canonical_edges", f"with {_EDGES} select * from e")
@@ -38,14 +38,14 @@ def gm2_degrees(spark, d):
     return M.degrees(graph(spark, d))
 
 
-@q("gm6_hop_distances", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_nationkey = 1),
+@q("gm6_hop_distances", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_acctbal > 6000),
 b as (select source, source as node, 0 as hops from s union select b.source, two.v, b.hops + 1 from b join two on two.u = b.node where b.hops < 5)
 select source, node, min(hops) as hops from b group by 1, 2""")
 def gm6_hop_distances(spark, d):
     return hop_distances(both_ways(graph(spark, d)), sources(spark, d), 5)
 
 
-@q("gm9_ball_masses", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_nationkey = 1),
+@q("gm9_ball_masses", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_acctbal > 6000),
 b as (select source, source as node, 0 as hops from s union select b.source, two.v, b.hops + 1 from b join two on two.u = b.node where b.hops < 6),
 h as (select source, node, min(hops) as hops from b group by 1, 2), c as (select source, hops, count(*) n from h group by 1, 2)
 select source, hops, sum(n) over (partition by source order by hops) as mass from c""")
@@ -53,7 +53,7 @@ def gm9_ball_masses(spark, d):
     return M.ball_masses(graph(spark, d), sources(spark, d), 6)
 
 
-@q("gm9_mass_dimension", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_nationkey = 1),
+@q("gm9_mass_dimension", f"""with recursive {_EDGES}, s as (select s_suppkey * 2 + 1 as source from supplier where s_acctbal > 6000),
 b as (select source, source as node, 0 as hops from s union select b.source, two.v, b.hops + 1 from b join two on two.u = b.node where b.hops < 6),
 h as (select source, node, min(hops) as hops from b group by 1, 2), c as (select source, hops, count(*) n from h group by 1, 2),
 m as (select source, hops, sum(n) over (partition by source order by hops) as mass from c)
