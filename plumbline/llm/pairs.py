@@ -240,7 +240,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         known = tokens[-1][0].isdigit() or (tokens[-1][0].isupper() and tokens[-1].lower() in there)
                     if request:
                         a, b = language_votes(request), language_votes(_QUOTED.sub(" ", text))
-                        if a[0] and b[0] and a[0] != b[0] and a[2] >= 2 and b[2] >= 2:
+                        if a[0] and b[0] and a[0] != b[0] and a[2] >= 2 and b[1] >= 2 and b[2] >= 1:
                             verdict = "language"
             rows.append((rid, verdict, must, final, ctx, known))
         yield pd.DataFrame(rows, columns=["reply_id", "verdict", "must", "final", "ctx", "known"])
