@@ -22,6 +22,8 @@ from plumbline.session import parallelism, stage, table
 #: Vocabulary file of the public tokenizer and combinations that enter the least-squares problem, at most.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 COMBINATIONS = 1500
+#: Lengths that the plan tells apart; in larger capacities they are rounded up to whole grains, at most to the capacity.
+LENGTHS = 1 << 15
 _ENCODERS: dict = {}
 
 
@@ -209,24 +211,27 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     per = sizes.where("tokens > 0").select("doc_id", "tokens", listed.alias("c")).select("doc_id", "tokens", "c.*")
     full = F.when(F.col("tokens") > F.col("cap"), F.floor(F.col("tokens") / F.col("cap"))).otherwise(0)
     per = per.withColumn("full", full).withColumn("rest", F.col("tokens") - F.col("full") * F.col("cap"))
+    grain = F.greatest(F.lit(1), F.ceil(F.col("cap") / LENGTHS))
+    per = per.withColumn("grain", grain).withColumn("bin", F.least(F.ceil(F.col("rest") / F.col("grain")), F.floor(F.col("cap") / F.col("grain"))))
     per = stage(per)
     plans: dict[int, Slots] = {}
     seen: dict[int, dict[int, int]] = {i: {} for i in caps}
-    for r in per.where("rest > 0").groupBy("capacity_id", "rest").agg(F.count("*").alias("n")).collect():
-        seen[r["capacity_id"]][r["rest"]] = r["n"]
+    for r in per.where("rest > 0").groupBy("capacity_id", "bin").agg(F.count("*").alias("n")).collect():
+        seen[r["capacity_id"]][r["bin"]] = r["n"]
     for i, c in caps.items():
-        plans[i] = Slots(plan_containers(seen[i], c))
+        plans[i] = Slots(plan_containers(seen[i], c // max(1, -(-c // LENGTHS))))
     held = spark.sparkContext.broadcast(plans)
     buckets = F.pmod(F.xxhash64("doc_id"), F.lit(parallelism(spark)))
     ranked = salted_sum(
-        per.where("rest > 0").select("capacity_id", "doc_id", "full", "cap", "rest"), ["capacity_id", "rest"],
+        per.where("rest > 0").select("capacity_id", "doc_id", "full", "cap", "rest", "bin", "grain"), ["capacity_id", "bin"],
         [F.col("doc_id")], buckets, "rank",
     )
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, g in pdf.groupby("capacity_id"):
-                box, position, start = held.value[i].find(g["rest"].to_numpy(), g["rank"].to_numpy())
+                box, position, start = held.value[i].find(g["bin"].to_numpy(), g["rank"].to_numpy())
+                start = start * g["grain"].to_numpy()
                 yield pd.DataFrame({
                     "capacity_id": g["capacity_id"], "container_id": box, "position": position, "start": start,
                     "doc_id": g["doc_id"], "piece": g["full"], "first_token": g["full"] * g["cap"], "tokens": g["rest"],

@@ -279,6 +279,17 @@ def test_pack(spark):
     assert packing.pack(s, caps.limit(0)).count() == 0
 
 
+def test_pack_large_capacity(spark):
+    rnd = random.Random(11)
+    cap = 100_001
+    sizes = [(i, rnd.choice([cap, cap - 1, rnd.randrange(1, 250_000), rnd.randrange(1, 900)])) for i in range(300)]
+    caps = spark.createDataFrame([(1, cap)], "capacity_id int, capacity_tokens int")
+    g = packing.pack(spark.createDataFrame(sizes, "doc_id long, tokens long"), caps).toPandas().sort_values(["container_id", "start"])
+    ends = g["start"] + g["tokens"]
+    assert ends.max() <= cap and g.groupby("doc_id")["tokens"].sum().to_dict() == dict(sizes)
+    assert (g["start"] >= ends.groupby(g["container_id"]).shift(fill_value=0)).all()
+
+
 def test_token_counts(spark):
     docs = frame(spark, DOC, [dict(doc_id=1, text="one two three"), dict(doc_id=2, text=""), dict(doc_id=3), dict(doc_id=None, text="x"), dict(doc_id=1, text="one two three"), dict(doc_id=4, text="long text " * 20000)])
     n = dict(got(packing.token_counts(docs)))
