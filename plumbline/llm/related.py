@@ -25,9 +25,10 @@ def label_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s_\p{Pd}]+", " "))
 
 
-def latest_records(records: DataFrame) -> DataFrame:
-    """One row per record: the one exported last, with its base key. Records without an id are dropped."""
-    cols = [c for c in records.columns if c != "record_id"]
+def latest_records(records: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """One row per record: the one exported last, with its base key, relations and ``labels``; texts stay unread.
+    Records without an id are dropped."""
+    cols = list(dict.fromkeys(["base_id", "doc_id", "derived_from", *(labels or [])]))
     last = F.max_by(F.struct(*cols), F.struct(F.col("exported_at"), F.hash(*cols)))
     one = records.where("record_id is not null").groupBy("record_id").agg(last.alias("x")).select("record_id", "x.*")
     return one.withColumn("base", base_key(F.col("base_id")))
@@ -76,7 +77,7 @@ def stratified_splits(records: DataFrame, plan: DataFrame, labels: list[str]) ->
     what each still needs of that label, the neediest first. Groups above ``LARGE`` of all records, a bounded number,
     are placed one by one before. Every record gets a split; null labels count for no label.
     """
-    r = latest_records(records)
+    r = latest_records(records, labels)
     g = stage(group_records(r).select("record_id", "group_id"))
     want = {x["split"]: float(x["share_pct"]) for x in plan.select("split", "share_pct").dropna().distinct().collect()}
     whole = sum(want.values())
