@@ -62,7 +62,7 @@ def wn9_level_ratio(spark, d):
 
 
 @q("wn10_sliding_slope", """with d as (select user_id, ts::date as d1, sum(value) v from events group by 1, 2), x as (select *, date_diff('day', date '2024-01-01', d1) x from d)
-select user_id, x, case when count(*) over w >= 3 then regr_slope(v, x) over w end as slope from x window w as (partition by user_id order by x rows 6 preceding)""", floats="slope")
+select user_id, x, case when count(*) over w >= 3 then regr_slope(v, x) over w end as slope from x window w as (partition by user_id order by x rows 6 preceding)""", floats="slope", digits=3)
 def wn10_sliding_slope(spark, d):
     """Slope of a user's daily sums over the last seven days with events."""
     x = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
