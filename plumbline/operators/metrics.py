@@ -19,7 +19,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def ball_masses(edges: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+def ball_masses(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataFrame:
     """``(source, hops, mass)``: nodes within ``hops`` steps, from shells summed up; sources without edges have 1."""
     shells = hop_distances(both_ways(edges), sources, limit).groupBy("source", "hops").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("hops").rowsBetween(Window.unboundedPreceding, 0)

@@ -72,6 +72,52 @@ def gm7_double_sweep(spark, d):
     return M.double_sweep(g, g.agg(F.min("u").alias("source")), 14)
 
 
+#: The graph of all order lines; the queries above it keep large, little discounted lines, as their SQL does.
+_ALL_EDGES = "e as (select distinct least(u, v) u, greatest(u, v) v from (select l_partkey * 2 as u, l_suppkey * 2 + 1 as v from lineitem) g where u is not null and v is not null)"
+
+
+def whole_graph(spark, d):
+    l = table(spark, d, "lineitem")
+    return M.canonical_edges(l.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
+
+
+def all_sources(spark, d):
+    return table(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("source"))
+
+
+@q("gm1_all_edges", f"with {_ALL_EDGES} select * from e")
+def gm1_all_edges(spark, d):
+    return whole_graph(spark, d)
+
+
+@q("gm2_all_degrees", f"with {_ALL_EDGES} select node, count(*) as degree from (select u as node from e union all select v from e) n group by 1")
+def gm2_all_degrees(spark, d):
+    return M.degrees(whole_graph(spark, d))
+
+
+@q("gm6_all_distances")
+def gm6_all_distances(spark, d):
+    """Distances from every supplier over all order lines, however far."""
+    return hop_distances(both_ways(whole_graph(spark, d)), all_sources(spark, d))
+
+
+@q("gm9_all_masses")
+def gm9_all_masses(spark, d):
+    return M.ball_masses(whole_graph(spark, d), all_sources(spark, d))
+
+
+@q("gm9_all_dimension", floats="dimension")
+def gm9_all_dimension(spark, d):
+    return M.mass_dimension(M.ball_masses(whole_graph(spark, d), all_sources(spark, d)))
+
+
+@q("gm7_all_sweep")
+def gm7_all_sweep(spark, d):
+    """Double sweep over all order lines, without a bound on the distance."""
+    g = whole_graph(spark, d)
+    return M.double_sweep(g, g.agg(F.min("u").alias("source")))
+
+
 @q("gm13_class_share", "with c as (select label, count(*) n from embeddings group by 1) select label, n, n * 1.0 / sum(n) over () as share from c", floats="share")
 def gm13_class_share(spark, d):
     c = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
