@@ -160,6 +160,16 @@ def mc1_best_cuts(spark, d):
     return M.best_cuts(x.select("graph", "u", "v", ((F.col("ku") * 7 + F.col("kv") * 13) % 10).alias("weight")), 9)
 
 
+@q("mc1_all_cuts", floats="cut")
+def mc1_all_cuts(spark, d):
+    """The largest cut among every customer's orders, however many; without related orders it is 0."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    x = o.select(F.col("o_custkey").alias("graph"), "k", F.posexplode("k").alias("u", "ku"))
+    x = x.select("graph", "u", "ku", F.posexplode("k").alias("v", "kv")).where("u < v and (ku + kv) % 3 = 0")
+    cuts = M.exact_cuts(stage(x.select("graph", "u", "v", ((F.col("ku") * 7 + F.col("kv") * 13) % 10).alias("weight"))))
+    return o.select(F.col("o_custkey").alias("graph")).join(cuts, "graph", "left").select("graph", F.coalesce("cut", F.lit(0.0)).alias("cut"))
+
+
 @q("sh1_dirichlet_energy", """with e as (select a.vec_id u, a.vec_id + 1 v from embeddings a) select u, v, list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: pow(x.embedding[i]::double - y.embedding[i]::double, 2))) as energy
 from e join embeddings x on x.vec_id = u join embeddings y on y.vec_id = v""", floats="energy")
 def sh1_dirichlet_energy(spark, d):

@@ -127,6 +127,16 @@ def sf24_cycle_rotation(spark, d):
     return o.select("o_custkey", F.array_join(X.canonical_cycle(F.col("c")), ",").alias("cycle"))
 
 
+@q("sf24_all_rotations", """with o as (select o_custkey, list(o_orderkey order by md5('' || o_orderkey)) c from orders group by 1 having count(*) >= 3),
+t as (select o_custkey, c, list_position(c, list_min(c)) p from o), u as (select o_custkey, list_concat(c[p:], c[:p - 1]) f from t)
+select o_custkey, array_to_string(case when f[2] <= f[len(f)] then f else list_concat(f[:1], list_reverse(f[2:])) end, ',') as cycle from u""")
+def sf24_all_rotations(spark, d):
+    """Cycles of three and more orders, however long."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.md5(F.col("o_orderkey").cast("string")).alias("h"), "o_orderkey"))).alias("c"))
+    o = o.where(F.size("c") >= 3).select("o_custkey", F.col("c.o_orderkey").alias("c"))
+    return o.select("o_custkey", F.array_join(X.canonical_cycle(F.col("c")), ",").alias("cycle"))
+
+
 @q("sf27_unordered_keys", "select distinct least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey) as key from lineitem where l_returnflag <> 'A'")
 def sf27_unordered_keys(spark, d):
     k = F.concat_ws("|", F.least("l_suppkey", "l_partkey").cast("string"), F.greatest("l_suppkey", "l_partkey").cast("string"))

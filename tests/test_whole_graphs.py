@@ -54,3 +54,32 @@ def test_whole_graph_queries(spark, sf):
     _, first = farthest(search(near, min(near)))
     diameter, end = farthest(search(near, first))
     assert [tuple(r) for r in q()["gm7_all_sweep"](spark, sf).collect()] == [(end, diameter)]
+
+
+def brute_cut(n, edges):
+    return max(sum(w for u, v, w in edges if (m >> u ^ m >> v) & 1) for m in range(1 << (n - 1)))
+
+
+def test_cuts_of_any_size(spark):
+    rnd = random.Random(8)
+    graphs = {}
+    for g, (n, p) in enumerate([(3, 1), (9, 0.5), (10, 1), (12, 0.3), (13, 0.8), (14, 0.15)]):
+        graphs[g] = n, [(u, v, rnd.randrange(-2, 9)) for u in range(n) for v in range(u) if rnd.random() < p]
+    want = {g: brute_cut(n, e) for g, (n, e) in graphs.items()}
+    for width in (3, 20):
+        assert {g: metrics.max_cut(*zip(*e), width) for g, (_, e) in graphs.items()} == want
+    df = spark.createDataFrame([(g, *x) for g, (_, e) in graphs.items() for x in e], "graph long, u int, v int, weight int")
+    assert {r.graph: r.cut for r in metrics.exact_cuts(df).collect()} == want
+
+
+def test_every_customer_has_a_cut(spark, sf):
+    keys = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        keys[r[0]].append(r[1])
+    got = {r.graph: r.cut for r in structures.queries()["mc1_all_cuts"](spark, sf).collect()}
+    assert set(got) == set(keys) and max(len(k) for k in keys.values()) > 9
+    for g, k in keys.items():
+        if len(k) <= 13:
+            k.sort()
+            e = [(u, v, (k[u] * 7 + k[v] * 13) % 10) for v in range(len(k)) for u in range(v) if (k[u] + k[v]) % 3 == 0]
+            assert got[g] == (brute_cut(len(k), e) if e else 0)
