@@ -266,6 +266,19 @@ def jn14_missing_reviews(spark, d):
     return done.join(panel).select("doc_id", F.explode(F.array_except("panel", "done")).alias("reviewer"))
 
 
+@q("jn14_all_missing_reviews", """with v as (select distinct doc_id, trim(regexp_replace(lower(reviewer), '[\\s_-]+', ' ', 'g')) r from decisions where kind = 'decision' and doc_id is not null and reviewer is not null),
+n as (select distinct r from v), w as (select distinct doc_id from v)
+select w.doc_id, n.r as reviewer from w cross join n where not exists (select 1 from v where v.doc_id = w.doc_id and v.r = n.r)""")
+def jn14_all_missing_reviews(spark, d):
+    """Documents and reviewers without a vote, over all reviewers: the reviewers go to every task as one row, and each
+    document's own are taken off."""
+    key = F.trim(F.regexp_replace(F.lower("reviewer"), r"[\s_-]+", " "))
+    v = table(spark, d, "decisions").where("kind = 'decision' and doc_id is not null and reviewer is not null").select("doc_id", key.alias("r")).distinct()
+    panel = F.broadcast(v.agg(F.sort_array(F.collect_set("r")).alias("panel")))
+    done = v.groupBy("doc_id").agg(F.collect_list("r").alias("done"))
+    return done.join(panel).select("doc_id", F.explode(F.array_except("panel", "done")).alias("reviewer"))
+
+
 @q("jn19_variant_diff", """with r as (select upper(trim(base_id)) b, lower(trim(variant)) v, arg_max(md5(coalesce(text, '')), (exported_at, record_id)) h, count(*) n from export_records where base_id is not null group by 1, 2),
 a as (select * from r where v = 'consistent'), c as (select * from r where v = 'planted')
 select coalesce(a.b, c.b) as base, case when a.b is null then 'added' when c.b is null then 'removed' when a.h <> c.h then 'changed' else 'same' end as state from a full outer join c on a.b = c.b""")

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from plumbline.operators import metrics
 from plumbline.operators.paths import both_ways, hop_distances
-from plumbline.plans import structures
+from plumbline.plans import ordered, structures
 
 
 def neighbours(edges):
@@ -83,3 +83,10 @@ def test_every_customer_has_a_cut(spark, sf):
             k.sort()
             e = [(u, v, (k[u] * 7 + k[v] * 13) % 10) for v in range(len(k)) for u in range(v) if (k[u] + k[v]) % 3 == 0]
             assert got[g] == (brute_cut(len(k), e) if e else 0)
+
+
+def test_missing_reviews_of_all_reviewers(spark, tmp_path):
+    rows = [("decision", f"d{i}", f"Rev_{j}") for i in range(4) for j in range(9) if (i + j) % 3 == 0] + [("decision", None, "x"), ("note", "d0", "y")]
+    spark.createDataFrame(rows, "kind string, doc_id string, reviewer string").write.parquet(f"{tmp_path}/decisions.parquet")
+    got = [tuple(r) for r in ordered.queries()["jn14_all_missing_reviews"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((f"d{i}", f"rev {j}") for i in range(4) for j in range(9) if (i + j) % 3)
