@@ -130,16 +130,13 @@ def gr24_localised(spark, d):
     return n.groupBy("doc_id").agg(F.bool_or(F.col("n") >= 2).alias("localised"))
 
 
-@q("gr25_short_cycles", f"""with recursive g as (select distinct doc_id, attribute, a u, b v from ({ENTITY_RELATIONS}) q where kind = 'greater' and a <> b),
-w as (select doc_id, attribute, u s, v, [u] p from g where v > u union all select w.doc_id, w.attribute, w.s, g.v, list_append(w.p, g.u) from w join g on g.doc_id = w.doc_id and g.attribute = w.attribute and g.u = w.v
- where len(w.p) < 4 and g.u <> w.s and g.v >= w.s and not list_contains(w.p, g.u)) select doc_id, attribute, len(p) as length, count(distinct p) as cycles from w where v = s group by 1, 2, 3""")
-def gr25_short_cycles(spark, d):
-    """Simple order cycles of up to four relations, each once: it starts at its smallest entity."""
-    g = stage(entity_relations(spark, d).where("kind = 'greater' and a <> b").select("doc_id", "attribute", F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+def order_cycles(r, longest):
+    """Simple order cycles of two up to ``longest`` relations, counted per length, each once: it starts at its smallest entity."""
+    g = stage(r.where("kind = 'greater' and a <> b").select("doc_id", "attribute", F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     k = ["doc_id", "attribute"]
     walk = g.where("v > u").select(*k, F.col("u").alias("s"), "v", F.array("u").alias("p"))
     found = None
-    for _ in range(3):
+    for _ in range(longest - 1):
         step = walk.withColumnRenamed("v", "u").join(g, [*k, "u"]).where("u <> s and v >= s and not array_contains(p, u)")
         walk = step.select(*k, "s", "v", F.concat("p", F.array("u")).alias("p"))
         closed = walk.where("v = s").select(*k, F.size("p").cast("long").alias("length"), "p")
@@ -147,6 +144,22 @@ def gr25_short_cycles(spark, d):
     return found.distinct().groupBy(*k, "length").agg(F.count("*").alias("cycles"))
 
 
+@q("gr25_short_cycles", f"""with recursive g as (select distinct doc_id, attribute, a u, b v from ({ENTITY_RELATIONS}) q where kind = 'greater' and a <> b),
+w as (select doc_id, attribute, u s, v, [u] p from g where v > u union all select w.doc_id, w.attribute, w.s, g.v, list_append(w.p, g.u) from w join g on g.doc_id = w.doc_id and g.attribute = w.attribute and g.u = w.v
+ where len(w.p) < 4 and g.u <> w.s and g.v >= w.s and not list_contains(w.p, g.u)) select doc_id, attribute, len(p) as length, count(distinct p) as cycles from w where v = s group by 1, 2, 3""")
+def gr25_short_cycles(spark, d):
+    """Simple order cycles of up to four relations, each once: it starts at its smallest entity."""
+    return order_cycles(entity_relations(spark, d), 4)
+
+
+@q("gr25_all_cycles", f"""with recursive g as (select distinct doc_id, attribute, a u, b v from ({ENTITY_RELATIONS}) q where kind = 'greater' and a <> b),
+w as (select doc_id, attribute, u s, v, [u] p from g where v > u union all select w.doc_id, w.attribute, w.s, g.v, list_append(w.p, g.u) from w join g on g.doc_id = w.doc_id and g.attribute = w.attribute and g.u = w.v
+ where len(w.p) < 6 and g.u <> w.s and g.v >= w.s and not list_contains(w.p, g.u)) select doc_id, attribute, len(p) as length, count(distinct p) as cycles from w where v = s group by 1, 2, 3""")
+def gr25_all_cycles(spark, d):
+    """Cycles of up to six relations."""
+    return order_cycles(entity_relations(spark, d), 6)
+
+
 @q("jn3_shared_openings", f"""with {_LAST}, n as (select record_id, x.b b, string_split(trim(lower(regexp_replace(x.t, '\\s+', ' ', 'g'))), '. ') s from r where x.t <> '' and x.b is not null),
 c as (select b, s, count(*) n from (select distinct record_id, b, unnest(s) s from n) z group by 1, 2) select n.record_id, c.n - 1 as others from n join c on c.b = n.b and c.s = n.s[1]""")
 def jn3_shared_openings(spark, d):

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from plumbline.operators import metrics
 from plumbline.operators.paths import both_ways, hop_distances
-from plumbline.plans import ordered, structures
+from plumbline.plans import matching, ordered, structures
 
 
 def neighbours(edges):
@@ -90,3 +90,23 @@ def test_missing_reviews_of_all_reviewers(spark, tmp_path):
     spark.createDataFrame(rows, "kind string, doc_id string, reviewer string").write.parquet(f"{tmp_path}/decisions.parquet")
     got = [tuple(r) for r in ordered.queries()["jn14_all_missing_reviews"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((f"d{i}", f"rev {j}") for i in range(4) for j in range(9) if (i + j) % 3)
+
+
+def test_cycles_of_up_to_six(spark):
+    rnd = random.Random(6)
+    edges = {(rnd.randrange(7), rnd.randrange(7)) for _ in range(22)} | {(10 + i, 10 + (i + 1) % 6) for i in range(6)}
+    want = defaultdict(int)
+
+    def walk(path):
+        for u, v in edges:
+            if u == path[-1] and u != v:
+                if v == path[0] and len(path) <= 6:
+                    want[len(path)] += 1
+                elif v > path[0] and v not in path and len(path) < 6:
+                    walk([*path, v])
+
+    for s in range(16):
+        walk([s])
+    rows = [("d", "age", "greater", u, v) for u, v in edges]
+    df = spark.createDataFrame(rows, "doc_id string, attribute string, kind string, a long, b long")
+    assert {r.length: r.cycles for r in matching.order_cycles(df, 6).collect()} == dict(want) and want[6]
