@@ -31,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"p3_found": related.P3_FOUND_SQL, "p4_found": quota.P4_FOUND_SQL}
+    return {"p3_found": related.P3_FOUND_SQL, "p4_found": quota.P4_FOUND_SQL, "p5_coverage": overlap.P5_COVERAGE_SQL}

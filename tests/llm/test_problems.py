@@ -32,7 +32,7 @@ def got(df):
     return {tuple(r) for r in df.collect()}
 
 
-# 1 ------------------------------------------------------------------------------------------------------------------
+# problem 1
 def reply(i, rationale, request="Claim 1: Ana left the mill at noon. Claim 2: Ben never saw the mill. Do they agree? Say why.", **kw):
     import json
 
@@ -78,7 +78,7 @@ def test_automaton():
         assert SuffixAutomaton(a).match_lengths(b) == want
 
 
-# 2 ------------------------------------------------------------------------------------------------------------------
+# problem 2
 def vote_rows(seed, n_docs, skill):
     rnd = random.Random(seed)
     rows, truth, seq = [], {}, 0
@@ -128,7 +128,7 @@ def test_consensus_empty(spark):
     assert m.posteriors().count() == 0
 
 
-# 3 ------------------------------------------------------------------------------------------------------------------
+# problem 3
 def rec(i, base=None, doc=None, made=None, **kw):
     return dict(record_id=i, base_id=base, doc_id=doc or f"x{i}", derived_from=made, exported_at=T0, plant_type=f"p{i % 3}") | kw
 
@@ -162,7 +162,7 @@ def test_splits(spark):
     assert related.stratified_splits(frame(spark, REC, []), plan, ["plant_type"]).count() == 0
 
 
-# 4 ------------------------------------------------------------------------------------------------------------------
+# problem 4
 def test_deficits_and_draw(spark):
     rnd = random.Random(4)
     rows = [dict(unit_id=i, run=rnd.choice(["Run A", "run_a", " run-a "]), provider=rnd.choice(["oak", "OAK ", "elm", "elm", "elm", None]), level=rnd.randrange(1, 4)) for i in range(300)]
@@ -189,7 +189,7 @@ def test_deficits_and_draw(spark):
     assert quota.deficits(u, frame(spark, TAR, []), ["provider"]).count() == 0
 
 
-# 5 ------------------------------------------------------------------------------------------------------------------
+# problem 5
 def plain_distance(a, b):
     row_ = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -223,6 +223,8 @@ def test_overlap_is_exact(spark):
             text = " ".join(t)
             if rnd.random() < 0.3:
                 text = text.upper().replace(" ", ",  ") + "!"
+            elif rnd.random() < 0.3:  # blanks that are no ASCII ones
+                text = "".join(rnd.choice("\u00a0\u2009\u3000\n ") if c == " " else c for c in text)
             rows.append(rec(len(rows), text=text, split=rnd.choice(["development", "Test ", "judged", "calibration", "other", None])))
     rows += [rec(900, text=None, split="test"), rec(901, text="", split="development"), rec(902, text="?!", split="test"), rec(903, text="—", split="development"), dict(record_id=None)]
     rows.append(dict(rows[0]))
@@ -238,11 +240,44 @@ def test_overlap_is_exact(spark):
     assert overlap.cross_split_pairs(frame(spark, REC, [])).count() == 0
 
 
+def test_overlap_boilerplate(spark):
+    """Texts that share three fifths of their words are not even compared."""
+    lead = " ".join(f"c{i}" for i in range(60))
+    rows = [rec(i, text=lead + " " + " ".join(f"p{i}x{j}" for j in range(40)), split="development" if i % 2 else "test") for i in range(200)]
+    texts, _ = overlap.distinct_texts(frame(spark, REC, rows))
+    assert overlap.candidates(texts).count() == 0
+    rows[7]["text"] = rows[4]["text"].replace("p4x9", "other")
+    assert got(overlap.cross_split_pairs(frame(spark, REC, rows))) == {(4, 7)}
+
+
+@pytest.mark.parametrize("block", [1, 40])
+def test_coverage_over_many_ranges(spark, monkeypatch, block):
+    """Runs of equal heads that many ranges share: coverage against plain sets of spans."""
+    rnd = random.Random(12)
+    rows = [
+        rec(i, text=" ".join(rnd.choice("abcd") for _ in range(rnd.choice([1, 2, 3, 9]))), split=rnd.choice(["development", "test"]))
+        for i in range(40)
+    ]
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    spans = {"development": set(), "test": set()}
+    for r in rows:
+        w = r["text"].split()
+        spans[r["split"]] |= {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = set()
+    for r in rows:
+        w, facing = r["text"].split(), "test" if r["split"] == "development" else "development"
+        there = {j for i in range(len(w) - 2) if tuple(w[i : i + 3]) in spans[facing] for j in (i, i + 1, i + 2)}
+        same = any(x["text"] == r["text"] and x["split"] == facing for x in rows)
+        want.add((r["record_id"], len(w), len(w) if same else len(there)))
+    assert got(overlap.span_coverage(frame(spark, REC, rows))) == want
+    assert overlap.span_coverage(frame(spark, REC, [])).count() == 0
+
+
 def overlap_words(text):
     return [w for w in "".join(c if c.isalnum() or c.isspace() else "" for c in (text or "").lower()).split() if w]
 
 
-# 6 ------------------------------------------------------------------------------------------------------------------
+# problem 6
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_everything(seed):
     rnd = random.Random(seed)
@@ -296,7 +331,7 @@ def test_token_counts(spark):
     assert n.keys() == {1, 4} and n[1] == 3 and n[4] > 30000
 
 
-# 7 ------------------------------------------------------------------------------------------------------------------
+# problem 7
 def passage(rnd, n):
     return [f"{a}{b}" for a, b in ((rnd.choice("bcdfglmnprst"), rnd.randrange(300)) for _ in range(n))]
 
@@ -333,7 +368,7 @@ def test_leak_blocks_agree(spark, monkeypatch):
     assert got(leakage.leaks(d, i).select("doc_id", "item_id")) == whole == {(k, k) for k in range(9)}
 
 
-# 8 ------------------------------------------------------------------------------------------------------------------
+# problem 8
 CASES = [
     "Dr. Ann met Mr. B. C. Cole at 3 p.m.|She left at 4.|It cost 3.50, i.e. less than No. 8, etc., and more!",
     'He wrote: "The key is here. Take it."|"Who has it?" Bob asked.|"I left," said Ann, "and you know it."|No.|We filed it under plan B.|A. B. Cole saw it.',
@@ -372,7 +407,7 @@ def test_sentence_operator(spark):
     assert sentences.sentence_units(d.limit(0)).count() == 0
 
 
-# queries ------------------------------------------------------------------------------------------------------------
+# queries
 COLUMNS = {
     "p1_found": ["reply_id", "defect"], "p2_found": ["doc_id", "decision"], "p3_found": ["record_id", "group_id"],
     "p4_found": ["run", "dimension", "category"], "p5_found": ["record_id_1", "record_id_2"],
@@ -380,6 +415,23 @@ COLUMNS = {
 }
 
 
+def test_queries_with_sql(spark, sf):
+    import glob
+    import os
+
+    import duckdb
+
+    from plumbline.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    for name, sql in oracle_sql().items():
+        df = queries()[name](spark, sf)
+        r = con.execute(f"select {', '.join(df.columns)} from ({sql}) q")
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, r.fetchall()), key=repr), name
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_found_columns(spark, sf, name):
     from plumbline.llm.queries import queries
