@@ -1,16 +1,19 @@
 """Problem 8: sentence units of documents in any language or script.
 
-Sentence-break rules over character properties, with suppression after abbreviations, initials and ordinals. Text
-between a quotation's marks is never cut, and a quotation stays with the words that frame it.
+The sentence-break rules of Unicode Standard Annex 29 over its character classes, for the terminators of all scripts,
+with suppression after abbreviations, initials and ordinals on top. Text between a quotation's marks is never cut, and
+a quotation stays with the words that frame it.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +46,38 @@ LABELLED = set(
     "plan type class group team option grade section part appendix figure vitamin level phase side point room gate "
     "platform exhibit schedule annex hepatitis block wing row zone model version train line".split()
 )
-OPENERS = "\"“„«‹「『《（([¿¡‘"
-CLOSERS = "\"”’»›」』》）)]}"
+_EVERY = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
+
+
+def _class(name: str) -> frozenset[str]:
+    """The characters of a Sentence_Break class."""
+    return frozenset(regex.findall(rf"\p{{Sentence_Break={name}}}", _EVERY))
+
+
 DASHES = "—–―-"
+#: Full stops that may also mark an abbreviation, and terminators that may not. Ellipses, the half-width and Tibetan
+#: stops end sentences too, though the standard has no or another class for them.
+ATERM = _class("ATerm")
+STERM = _class("STerm") | set("…｡།༎")
+TERMS = ATERM | STERM
+#: Marks after which a sentence goes on; dashes have a rule of their own.
+CONTINUE = {c for c in _class("SContinue") if unicodedata.category(c) != "Pd"} | set(";；؛%")
+_CLOSE_CLASS = _class("Close")
+OPENERS = {c for c in _CLOSE_CLASS if unicodedata.category(c) in ("Ps", "Pi")} | set('"¿¡')
+CLOSERS = {c for c in _CLOSE_CLASS if unicodedata.category(c) in ("Pe", "Pf")} | set('"')
 PAIR = {"«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "（": "）", "(": ")", "[": "]"}
 _CLOSE = {v: k for k, v in PAIR.items()}
 _MARKS = re.compile(r"[\"“”„«»‹›「」『』《》（）()\[\]]")
-_TERM = re.compile(r"[.!?…。！？｡।॥؟۔]+|(?<=[฀-๿])\s+(?=[^\s\d.,!?…:;%)\]])")
-_BLANK = re.compile(r"(?:\r\n|\n|\r| |\u0085)[^\S\r\n]*(?:\r\n|\n|\r| |\u0085)\s*")
+_TERM = re.compile(rf"[{re.escape(''.join(sorted(TERMS)))}]+|(?<=[\u0e00-\u0eff])\s+(?=[^\s\d.,!?…:;%)\]])")
+_BLANK = re.compile(r"(?:\r\n|\n|\r| |\u0085)[^\S\r\n]*(?:\r\n|\n|\r| |\u0085)\s*| \s*")
 _LINE = re.compile(r"(?:\r\n|\n|\r)(?=\s*(?:>|\[\d|\[[A-Z]|<|[-*•|] ))|(?<=>)(?:\r\n|\n|\r)+")
 _WORD_BEFORE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*$|\d+$")
 _LAST = re.compile(r"[^\W\d_]+(?=\W*$)")
 _WORD_AT = re.compile(r"[^\W\d_]+")
 _CJK_MARKS = set("。！？｡")
+#: Full-width letters, digits, quotes and stops read like their usual forms.
+_FULL = {c: c - 0xFEE0 for c in (0xFF02, 0xFF0E, *range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
+_IS_FULL = re.compile("[" + "".join(map(chr, _FULL)) + "]")
 
 
 def _wide(c: str) -> bool:
@@ -131,22 +153,22 @@ def _ends(t: str, start: int, s: int, e: int, b: int) -> bool:
         return True  # a space between phrases of a script that writes no full stops
     j = _next(t, e, b)
     if j >= b:
-        return True
+        return True  # SB4
     c, gap = t[j], j > e
     mark = t[s:e]
     if mark[-1] in _CJK_MARKS or "……" in mark:
         return True
-    if c.islower() or c in ",;:，、；：،؛%":
-        return False
+    if c.islower() or c in CONTINUE:
+        return False  # SB8, SB8a
     if c in DASHES:
         return _dash_opens(t, j, b)
-    if mark != ".":
+    if mark not in ATERM:
         return not (not gap and c.isdigit() and mark[-1] in "…") or c.isupper() or not c.isalpha()
     if not gap and c in CLOSERS and c not in OPENERS:
         return True
     p = t[s - 1] if s > start else ""
     if not gap and c.isdigit() and p.isdigit():
-        return False
+        return False  # SB6
     m = _WORD_BEFORE.search(t, max(start, s - 30), s)
     if not m:
         return gap or not c.isdigit()
@@ -195,14 +217,14 @@ def _after_span(t: str, start: int, span: tuple[int, int], b: int) -> bool:
     while inner > s and t[inner].isspace():
         inner -= 1
     last = t[inner]
-    if last not in ".!?…。！？｡।॥؟۔":
+    if last not in TERMS:
         return False
     j = _next(t, e, b)
     if j >= b:
         return True
     c = t[j]
-    if c.islower() or c in ",;:，、；：،؛.!?…。！？।؟":
-        return False
+    if c.islower() or c in CONTINUE or c in TERMS:
+        return False  # SB8, SB8a
     if c in DASHES:
         return _dash_opens(t, j, b)
     if c in OPENERS:
@@ -221,6 +243,8 @@ def units(text: str, lines: bool = False) -> list[tuple[int, int]]:
 
     Blank lines end a unit; with ``lines`` so do breaks before quoted, bulleted, tagged or time-stamped lines.
     """
+    if not text.isascii() and _IS_FULL.search(text):
+        text = text.translate(_FULL)
     cuts, pos = [], 0
     for m in _BLANK.finditer(text):
         cuts.append((pos, m.start()))

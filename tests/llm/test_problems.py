@@ -380,6 +380,8 @@ CASES = [
     "Он ушёл и т. д., пишет Иван.|«Кто взял?» — спросил он.|В 17 г. стульев было 9.|Там стоял стул…|Нет.",
     "क्या यह है?|उसने कहा: \"मेरी है। वह जानता है।\"|वह गया।",
     "كتب د. علي أن الباب مغلق!|قال: «لم أكن. اسألوا.»|من أخذ؟",
+    "Նա եկավ։|Նա գնաց։", "እሱ መጣ።|እሷ ሄደች።", "သူလာသည်။|သူမသွားသည်။", "You did what‽|I did.", "Ａ氏は来た．|Ｂ氏は３．５キロ歩いた．",
+    "គាត់មក។|នាងទៅ។", "ཁོ་ཡོང་།|མོ་སོང་།", "וא הלך.|היא באה!",
     "ไม่มีใครเห็น|เชือกยาว 6.34 เมตรตามที่เขียน|เขาไป",
 ]
 
@@ -392,6 +394,7 @@ def test_sentences(case):
 
 
 def test_paragraphs_and_bounds():
+    assert sentences.units("One\u2028two\u2029Three") == [(0, 7), (8, 13)]
     text = "  Heading \n\nOne line\nand more. Two.Three.\r\n\r\n  Last  "
     assert [text[a:b] for a, b in sentences.units(text)] == ["Heading", "One line\nand more.", "Two.", "Three.", "Last"]
     for t in ("", "   \n ", '"', "...", "“" * 50, "A." * 500, "x" * 200_000 + ". Y"):
