@@ -1,30 +1,32 @@
 """Problem 7: evaluation texts leaking into training text.
 
-The n-grams of the items' own passages are hashed into a sorted set that every task holds; the documents' token windows
-are scanned against it, and hits are verified by chaining them, in order, into a covered share of the passage.
+The n-grams of the items' own passages are hashed into a sorted set that every task holds, a block of items at a time;
+the documents' token windows are scanned against it, and hits are verified by chaining them, in order, into a covered
+share of the passage.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import table
+from plumbline.operators.skew import lookup_join, salted_sum
+from plumbline.session import parallelism, stage, table
 
 #: Tokens a window: words, and characters of scripts written without spaces.
 N_WORDS, N_CHARS = 5, 8
-#: Items are processed in blocks of at most this many characters, which bounds what a task holds.
-BLOCK_CHARS = 20_000_000
+#: Items are processed in blocks of about so many tokens, which bounds what the driver sends and a task holds. A single
+#: item may not have more.
+BLOCK = 500_000
 SHARE = 0.31
-#: Share of an item's windows that a document must have before the two are compared word by word.
-FEWEST = 0.1
 #: Runs of a piece are parted by at most so many tokens, or thrice as many if two fifths of them are common.
 GAP = 4
 
@@ -52,28 +54,56 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(_INNER.sub("", text))
 
 
-def own_passages(items: pd.DataFrame) -> dict[int, list[str]]:
-    """Tokens of each item without the instruction: the longest prefix that more than half of its suite shares."""
-    out: dict[int, list[str]] = {}
-    for _, g in items.groupby(items["suite"].fillna("")):
-        toks = {int(i): tokens(t) for i, t in zip(g["item_id"], g["text"])}
-        alive, depth = list(toks), 0
-        while len(toks) > 1:
-            heads = Counter(toks[i][depth] for i in alive if len(toks[i]) > depth)
-            if not heads:
-                break
-            word, n = heads.most_common(1)[0]
-            if 2 * n <= len(toks):
-                break
-            alive = [i for i in alive if len(toks[i]) > depth and toks[i][depth] == word]
-            depth += 1
-        lead = toks[alive[0]][:depth] if alive else []
-        for i, t in toks.items():
-            k = 0
-            while k < len(lead) and k < len(t) and t[k] == lead[k]:
-                k += 1
-            out[i] = t[k:]
-    return out
+def item_tokens(items: DataFrame) -> DataFrame:
+    """``(item_id, suite, toks)``: each item's tokens; of differing repeats the first, null ids and texts left out."""
+    one = items.where("item_id is not null and text is not null").groupBy("item_id").agg(
+        F.min(F.struct(F.coalesce("suite", F.lit("")).alias("suite"), "text")).alias("x")).select("item_id", "x.*")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"item_id": pdf["item_id"], "suite": pdf["suite"], "toks": [tokens(t) for t in pdf["text"]]})
+
+    return one.mapInPandas(cut, "item_id long, suite string, toks array<string>")
+
+
+def own_passages(items: DataFrame) -> DataFrame:
+    """``(item_id, toks)`` without the instruction: the longest prefix that more than half of the item's suite shares,
+    as far as the item has it. ``items`` as of ``item_tokens``; a suite with one item has no instruction."""
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, suite, toks in zip(pdf["item_id"], pdf["suite"], pdf["toks"]):
+                h, out = 0, []
+                for t in toks:
+                    h = xxhash.xxh64_intdigest(t, h)
+                    out.append(h - (1 << 63))
+                yield pd.DataFrame({"item_id": item, "suite": suite, "depth": np.arange(1, len(out) + 1), "h": np.array(out, "int64")})
+
+    p = stage(items.mapInPandas(prefixes, "item_id long, suite string, depth long, h long"))
+    sizes = items.groupBy("suite").agg(F.count("*").alias("all")).where("`all` > 1")
+    common = p.groupBy("suite", "depth", "h").agg(F.count("*").alias("n")).join(sizes, "suite").where("2 * n > `all`")
+    lead = p.join(common, ["suite", "depth", "h"]).groupBy("item_id").agg(F.max("depth").cast("int").alias("lead"))
+    own = F.expr("slice(toks, coalesce(lead, 0) + 1, greatest(size(toks) - coalesce(lead, 0), 0))")
+    return items.join(lead, "item_id", "left").select("item_id", own.alias("toks"))
+
+
+def marked_passages(items: DataFrame) -> DataFrame:
+    """``(item_id, toks, rare, block)``: own passages, which of their tokens hardly any other item has (such as names
+    and numbers), and blocks of about ``BLOCK`` tokens in the order of the ids."""
+    own = stage(own_passages(stage(item_tokens(items))))
+    long = stage(own.select("item_id", F.posexplode("toks").alias("pos", "tok")))
+    often = stage(long.groupBy("tok").agg(F.count_distinct("item_id").alias("items"), F.count("*").alias("n")))
+    few = max(2, own.count() // 50)
+    rare = often.where(F.col("items") <= few).select("tok", F.lit(True).alias("rare"))
+    flags = lookup_join(long, rare, "tok", often.select("tok", "n")).groupBy("item_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("rare", F.lit(False)).alias("rare")))), lambda x: x["rare"]).alias("rare"))
+    sized = own.join(flags, "item_id").withColumn("size", F.size("toks"))
+    longest = sized.agg(F.max("size")).first()[0] or 0
+    if longest > BLOCK:
+        raise ValueError(f"an evaluation item has {longest} tokens, more than the {BLOCK} of a block")
+    before = salted_sum(sized.select("item_id", "size"), [], [F.col("item_id")],
+                        F.pmod(F.xxhash64("item_id"), F.lit(parallelism(items.sparkSession))), "before", F.col("size"))
+    return sized.join(before.select("item_id", F.floor(F.col("before") / BLOCK).alias("block")), "item_id").drop("size")
 
 
 def window_codes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -132,34 +162,28 @@ def _reach(a: np.ndarray, b: np.ndarray) -> list[int]:
 class ItemIndex:
     """The items' windows: sorted codes with, for each, the (item, position) pairs it has."""
 
-    def __init__(self, passages: dict[int, list[str]]):
+    def __init__(self, passages: pd.DataFrame):
         self.vocab: dict[str, int] = {}
-        self.items = sorted(passages)
+        self.items = passages["item_id"].astype(int).tolist()
+        self.rare = [np.asarray(x, bool) for x in passages["rare"]]
         self.ids, self.n = [], []
-        found = {N_WORDS: defaultdict(list), N_CHARS: defaultdict(list)}
-        for k, item in enumerate(self.items):
-            toks = passages[item]
+        found = defaultdict(list)
+        for k, toks in enumerate(passages["toks"]):
             ids = np.array([self.vocab.setdefault(t, len(self.vocab) + 1) for t in toks], np.uint64)
             n = N_CHARS if 2 * sum(bool(_CHAR.match(t)) for t in toks) > len(toks) else N_WORDS
             n = max(1, min(n, len(ids)))
             self.ids.append(ids)
             self.n.append(n)
-            if not len(ids):
-                continue
-            for pos, code in enumerate(window_codes(ids, n).tolist()):
-                found.setdefault(n, defaultdict(list))[code].append((k, pos))
-        # tokens that hardly any other item has, such as its names and numbers
-        often = Counter(t for item in self.items for t in set(passages[item]))
-        few = max(2, len(self.items) // 50)
-        self.rare = [np.array([often[t] <= few for t in passages[item]], bool) for item in self.items]
+            codes = window_codes(ids, n)
+            found[n].append((codes, np.full(len(codes), k), np.arange(len(codes))))
         self.sizes = np.array([max(1, len(x)) for x in self.ids])
         self.sets = {}
-        for n, codes in found.items():
-            if codes:
-                keys = sorted(codes)
-                sizes = np.array([len(codes[c]) for c in keys])
-                flat = np.array([x for c in keys for x in codes[c]], np.int64).reshape(-1, 2)
-                self.sets[n] = (np.array(keys, np.uint64), np.concatenate([[0], np.cumsum(sizes)]), flat)
+        for n, parts in found.items():
+            codes, item, pos = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((pos, item, codes))
+            keys, first = np.unique(codes[order], return_index=True)
+            if len(keys):
+                self.sets[n] = (keys, np.append(first, len(codes)), np.stack([item[order], pos[order]], 1))
 
     def scan(self, text: str, share: float) -> list[tuple[int, float]]:
         """(item, covered share) of the items whose passage ``text`` holds to at least ``share``."""
@@ -168,6 +192,8 @@ class ItemIndex:
         ids = np.array([get(t, 0) for t in toks], np.uint64)
         if not ids.any():
             return []
+        present = np.zeros(len(self.vocab) + 1, bool)
+        present[ids.astype(np.int64)] = True
         out = []
         for n, (keys, offsets, flat) in self.sets.items():
             if n == N_CHARS and not _CHAR.search(text):
@@ -187,9 +213,11 @@ class ItemIndex:
             ends = np.cumsum(many)
             pick = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(offsets[at], many)
             item, ipos = flat[pick, 0], flat[pick, 1]
-            distinct = np.unique(item * (1 << 32) + ipos) >> 32
-            met, counts = np.unique(distinct, return_counts=True)
-            for k in met[counts >= FEWEST * self.sizes[met]].tolist():
+            for k in np.unique(item).tolist():
+                # no more can agree than the tokens that are there at all, and without any rare one none count
+                there = present[self.ids[k].astype(np.int64)]
+                if there.sum() < share * self.sizes[k] or (n != N_CHARS and not (there & self.rare[k]).any()):
+                    continue
                 mine = item == k
                 got = self._covered(ids, k, list(zip(dpos[mine].tolist(), ipos[mine].tolist())))
                 if got >= share * self.sizes[k]:
@@ -209,8 +237,10 @@ class ItemIndex:
         blocks = sorted(b for r in runs.values() for b in r)
         # runs that only a few changed words part are one piece: document start, end, item start, end, agreeing places
         pieces: list[list] = []
+        open_: list[list] = []
         for d, i, size in blocks:
-            for p in pieces[-8:]:
+            open_ = [p for p in open_ if d - p[1] <= 3 * GAP]  # the others are too far back to go on
+            for p in open_:
                 gd, gi = d - p[1], i - p[3]
                 if -n < gd <= 3 * GAP and -n < gi <= 3 * GAP and d > p[0] and i > p[2]:
                     same = _common(ids[p[1] : d], item[p[3] : i]) if gd > 0 and gi > 0 else []
@@ -222,14 +252,15 @@ class ItemIndex:
                     break
             else:
                 pieces.append([d, d + size, i, i + size, set(range(i, i + size))])
+                open_.append(pieces[-1])
         kept = []
         for d0, d1, i0, i1, there in pieces:
             if n == N_CHARS:
                 if len(there) >= 5 * n // 2:
                     kept.append((d0, i0, there))
                 continue
-            there |= {i1 + y for y in _reach(ids[d1 : d1 + 40], item[i1 : i1 + 40])}
-            there |= {i0 - 1 - y for y in _reach(ids[max(0, d0 - 40) : d0][::-1], item[max(0, i0 - 40) : i0][::-1])}
+            there |= {i1 + y for y in _reach(ids[d1:], item[i1:])}
+            there |= {i0 - 1 - y for y in _reach(ids[:d0][::-1], item[:i0][::-1])}
             own = self.rare[k][min(there) : max(there) + 1].sum()
             met = sum(self.rare[k][y] for y in there)
             if len(there) >= 8 and met and met >= 0.6 * own:
@@ -251,27 +282,18 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     Common runs of ``N_WORDS`` words (``N_CHARS`` characters) or more are joined to pieces over a few changed words.
     Pieces count, in the passage's order, if they agree in most of the names, numbers and other words that hardly any
     other item has; so sentences of the same build about other names do not. Pieces of unspaced scripts, where words
-    cannot be told apart, count from 20 characters on. The items are read in blocks of at most ``BLOCK_CHARS`` characters, each block
-    against all documents. Null ids and null or empty texts match nothing; repeated rows count once; empty tables give
+    cannot be told apart, count from 20 characters on. Instructions and rare tokens are found over all items; then they
+    are read in blocks of about ``BLOCK`` tokens, wherever suites end, each block against all documents. Null ids and null or empty texts match nothing; repeated rows count once; empty tables give
     no rows; other columns are ignored.
     """
     spark = documents.sparkSession
-    wanted = items.where("item_id is not null and text is not null").select("item_id", "suite", "text")
-    # whole suites stay in one block, as the shared instruction is told from them
-    sizes = wanted.groupBy("suite").agg(F.sum(F.length("text")).alias("n")).orderBy("suite").collect()
-    blocks: list[list] = []
-    room = 0
-    for r in sizes:
-        if not blocks or room + r["n"] > BLOCK_CHARS:
-            blocks.append([])
-            room = 0
-        blocks[-1].append(r["suite"])
-        room += r["n"]
+    marked = stage(marked_passages(items))
+    blocks = sorted(r[0] for r in marked.select("block").distinct().collect())
     out = None
     schema = "doc_id long, item_id long, share double"
-    for suites in blocks:
-        part = wanted.where(F.coalesce(F.col("suite").isin([s for s in suites if s is not None]), F.lit(None in suites)))
-        index = spark.sparkContext.broadcast(ItemIndex(own_passages(part.dropDuplicates(["item_id"]).toPandas())))
+    for block in blocks:
+        part = marked.where(F.col("block") == block).orderBy("item_id").toPandas()
+        index = spark.sparkContext.broadcast(ItemIndex(part))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             look = index.value

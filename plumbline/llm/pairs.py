@@ -12,13 +12,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import SuffixAutomaton
-from plumbline.session import table
+from plumbline.session import stage, table
 
 # Stop reasons that say the model declined, and answers that stand for "no answer".
 REFUSED_STOPS = {"refusal", "refused", "content_filter", "safety", "blocked"}
@@ -73,7 +74,10 @@ _TOKEN = re.compile(
 _FINAL = re.compile(r"[.!?…。！？؟।]+$")
 _WORD = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
+_LETTERS = re.compile(r"[^\W\d_]+")
 CONTEXTS = (4, 3, 2)
+#: Codes of contexts that a task holds before it adds them up.
+HELD = 1 << 21
 
 
 def _automaton():
@@ -119,13 +123,13 @@ def has_content(text: str | None) -> bool:
 
 def language_votes(text: str) -> tuple[str | None, int, int]:
     """(language, votes, lead over the second); a script of its own counts by characters, Latin text by stopwords."""
-    letters = sum(c.isalpha() for c in text)
-    for lang, rx in SCRIPTS:
-        n = len(rx.findall(text))
-        if n and n * 4 >= letters:
-            return lang, n, n
+    if not text.isascii():
+        for lang, rx in SCRIPTS:
+            n = len(rx.findall(text))
+            if n and n * 4 >= sum(c.isalpha() for c in text):
+                return lang, n, n
     votes = dict.fromkeys(STOPWORDS, 0)
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w in _LETTERS.findall(text.lower()):
         for lang in _VOTE.get(w, ()):
             votes[lang] += 1
     (best, n), (_, m) = sorted(votes.items(), key=lambda x: -x[1])[:2]
@@ -152,12 +156,33 @@ def shapes(text: str) -> tuple[list[str], list[str]]:
     return tokens, out
 
 
-def _h(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) - (1 << 63)
+class Codes:
+    """Numbers of words and of runs of token shapes, the same in every task."""
 
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-def _ctx(sh: list[str], end: int, k: int) -> str:
-    return f"{k}|" + " ".join(sh[max(0, end - k) : end])
+    def of(self, names: list[str]) -> np.ndarray:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        out = []
+        for x in names:
+            code = self.known.get(x)
+            if code is None:
+                code = self.known[x] = xxhash.xxh64_intdigest(x)
+            out.append(code)
+        return np.array(out, np.uint64)
+
+    def contexts(self, tokens: list[str], shape: list[str]) -> np.ndarray:
+        """For every token a row: the runs of so many shapes as ``CONTEXTS`` says that end with it, and its word."""
+        h = self.of(shape)
+        out = np.empty((len(h), len(CONTEXTS) + 1), np.uint64)
+        for x, k in enumerate(CONTEXTS):
+            out[:, x] = k
+            for j in range(min(k, len(h))):
+                out[j:, x] += h[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15 >> 3 * j | 1)
+        out[:, -1] = self.of(["w|" + t.lower() for t in tokens])
+        return out.view(np.int64)
 
 
 def open_delimiters(text: str) -> bool:
@@ -174,76 +199,92 @@ def open_delimiters(text: str) -> bool:
     return plain or bool(stack)
 
 
-def _count_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: how often a run of token shapes stands before a final mark, and how often otherwise."""
-    counts: dict[int, list[int]] = {}
+def _endings(tokens: list[str], shape: list[str]) -> tuple[list[int], list[bool]]:
+    """Tokens that are words, the last token apart as nothing follows it, and whether a final mark ends a sentence
+    right after them."""
+    n = len(shape) - 1
+    at = [i for i in range(n) if shape[i] != "." and tokens[i][0].isalnum()]
+    end = [
+        shape[i + 1] == "." and (i + 1 == n or tokens[i + 2][0].isupper() or not tokens[i + 2][0].isascii()) for i in at
+    ]
+    return at, end
 
-    def flush():
-        keys = list(counts)
-        return pd.DataFrame(
-            {"ctx": keys, "n_end": [counts[k][0] for k in keys], "n_all": [counts[k][1] for k in keys]}
-        )
 
-    for pdf in batches:
-        for output in pdf["output"]:
-            text, cut = rationale_of(output)
-            if not text:
-                continue
-            tokens, sh = shapes(text)
-            n = len(sh) - 1  # the last token has nothing after it: it says nothing
-            for i in range(n):
-                if sh[i] == "." or not (tokens[i][0].isalnum()):
-                    continue
-                end = sh[i + 1] == "." and (i + 1 == n or tokens[i + 2][0].isupper() or not tokens[i + 2][0].isascii())
-                for c in (_h(_ctx(sh, i + 1, k)) for k in CONTEXTS):
-                    x = counts.setdefault(c, [0, 0])
-                    x[0] += end
-                    x[1] += 1
-                x = counts.setdefault(_h("w|" + tokens[i].lower()), [0, 0])
-                x[0] += end
-                x[1] += 1
-        if len(counts) > 200_000:
-            yield flush()
-            counts.clear()
-    yield flush()
-
-
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What one reply shows by itself, and the contexts whose counts must say whether it is finished."""
-    refusals = _automaton()
+def _added(codes: list[np.ndarray], ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, sentence ends, occurrences) of each code once; what was added before has its counts in ``ends``."""
+    keys, where = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.concatenate(ends)
+    return keys, np.bincount(where, n[:, 0]).astype(np.int64), np.bincount(where, n[:, 1]).astype(np.int64)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the replies: what each shows by itself with the contexts whose counts must say whether it is
+    finished, and (rows with a null reply) how often each context stands before a final mark and at all."""
+    refusals, numbers = _automaton(), Codes()
+    codes: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+
+    def counted():
+        keys, n_end, n_all = _added(codes, ends)
+        codes[:], ends[:] = [keys], [np.stack([n_end, n_all], 1)]
+        return pd.DataFrame({"reply_id": None, "verdict": None, "must": None, "final": None, "known": None, "ctx": None,
+                             "code": keys, "n_end": n_end, "n_all": n_all})
+
     for pdf in batches:
         rows = []
         for rid, request, output, stop in zip(pdf["reply_id"], pdf["request"], pdf["output"], pdf["stop_reason"]):
             text, cut = rationale_of(output)
-            verdict, must, final, ctx, known = None, cut, False, [], False
-            low = (text or "").lower().replace("’", "'")
-            unquoted = _QUOTED.sub(" ", low)
-            if (stop or "").strip().lower() in REFUSED_STOPS or next(refusals.iter(unquoted), None):
-                verdict = "refusal"
-            elif not has_content(text):
-                verdict = "empty"
-            else:
-                words = bare_words(text)
-                asked = bare_words(request) if request else []
-                there = set(asked)
-                if len(words) >= 3 and sum(w in there for w in words) >= 0.7 * len(words):
-                    spare = max(2, round(0.2 * len(words)))
-                    if len(words) - SuffixAutomaton(asked).coverage(words, 3) <= spare:
-                        verdict = "copy"
-                if verdict is None:
-                    stripped = text.rstrip().rstrip("\"'”’»“)]}」』）》").rstrip()
-                    final = bool(_FINAL.search(stripped))
-                    must = must or open_delimiters(text) or bool(re.search(r"[\w][-‐–]$|[,;:，、；：]$", stripped))
-                    tokens, sh = shapes(_FINAL.sub("", stripped))
-                    if tokens and tokens[-1][0].isalnum():
-                        ctx = [_h(_ctx(sh, len(sh), k)) for k in CONTEXTS] + [_h("w|" + tokens[-1].lower())]
-                        known = tokens[-1][0].isdigit() or (tokens[-1][0].isupper() and tokens[-1].lower() in there)
-                    if request:
-                        a, b = language_votes(request), language_votes(_QUOTED.sub(" ", text))
-                        if a[0] and b[0] and a[0] != b[0] and a[2] >= 2 and b[1] >= 2 and b[2] >= 1:
-                            verdict = "language"
-            rows.append((rid, verdict, must, final, ctx, known))
-        yield pd.DataFrame(rows, columns=["reply_id", "verdict", "must", "final", "ctx", "known"])
+            if text:
+                tokens, shape = shapes(text)
+                at, end = _endings(tokens, shape)
+                if at:
+                    mine = numbers.contexts(tokens, shape)[at]
+                    codes.append(mine.ravel())
+                    flag = np.repeat(np.array(end, np.int64), mine.shape[1])
+                    ends.append(np.stack([flag, np.ones_like(flag)], 1))
+            rows.append((rid, *_judge(request, text, cut, stop, refusals, numbers)))
+        out = pd.DataFrame(rows, columns=["reply_id", "verdict", "must", "final", "ctx", "known"])
+        yield out.assign(code=None, n_end=None, n_all=None)
+        if codes:
+            if sum(map(len, codes)) > HELD:
+                counted()  # adds up in place
+            if sum(map(len, codes)) > HELD // 2:
+                yield counted()
+                codes.clear()
+                ends.clear()
+    if codes:
+        yield counted()
+
+
+def _judge(request: str | None, text: str | None, cut: bool, stop: str | None, refusals, numbers: Codes):
+    """(verdict, must, final, ctx, known): what one reply shows by itself, see ``defects``."""
+    verdict, must, final, ctx, known = None, cut, False, [], False
+    low = (text or "").lower().replace("’", "'")
+    unquoted = _QUOTED.sub(" ", low)
+    if (stop or "").strip().lower() in REFUSED_STOPS or next(refusals.iter(unquoted), None):
+        return "refusal", must, final, ctx, known
+    if not has_content(text):
+        return "empty", must, final, ctx, known
+    words = bare_words(text)
+    asked = bare_words(request) if request else []
+    there = set(asked)
+    if len(words) >= 2 and sum(w in there for w in words) >= 0.7 * len(words):
+        spare = max(2, round(0.2 * len(words))) if len(words) > 2 else 0
+        if len(words) - SuffixAutomaton(asked).coverage(words, min(3, len(words))) <= spare:
+            return "copy", must, final, ctx, known
+    stripped = text.rstrip().rstrip("\"'”’»“)]}」』）》").rstrip()
+    final = bool(_FINAL.search(stripped))
+    must = must or open_delimiters(text) or bool(re.search(r"[\w][-‐–]$|[,;:，、；：]$", stripped))
+    tokens, shape = shapes(_FINAL.sub("", stripped))
+    if tokens and tokens[-1][0].isalnum():
+        most = max(CONTEXTS)
+        ctx = numbers.contexts(tokens[-most:], shape[-most:])[-1].tolist()
+        known = tokens[-1][0].isdigit() or (tokens[-1][0].isupper() and tokens[-1].lower() in there)
+    if request:
+        a, b = language_votes(request), language_votes(_QUOTED.sub(" ", text))
+        if a[0] and b[0] and a[0] != b[0] and a[2] >= 2 and b[1] >= 2 and b[2] >= 1:
+            verdict = "language"
+    return verdict, must, final, ctx, known
 
 
 def latest_replies(llm: DataFrame) -> DataFrame:
@@ -265,13 +306,11 @@ def defects(llm: DataFrame, schema_name: str = "RelationV22", least: int = 4) ->
     replies = latest_replies(llm).where(F.col("schema_name") == schema_name).select(
         "reply_id", "request", "output", "stop_reason"
     )
-    counts = (
-        replies.select("output").mapInPandas(_count_contexts, "ctx long, n_end long, n_all long")
-        .groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
-    )
-    judged = replies.mapInPandas(
-        _judge, "reply_id long, verdict string, must boolean, final boolean, ctx array<long>, known boolean"
-    )
+    schema = "reply_id long, verdict string, must boolean, final boolean, ctx array<long>, known boolean, code long, n_end long, n_all long"
+    read = stage(replies.mapInPandas(_read, schema))
+    counts = read.where("reply_id is null").groupBy(F.col("code").alias("ctx")).agg(
+        F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
+    judged = read.where("reply_id is not null").select("reply_id", "verdict", "must", "final", "ctx", "known")
     k = F.col("k")
     asked = judged.where("verdict is null or verdict = 'language'").select(
         "reply_id", "final", "must", "known", "verdict", F.posexplode_outer("ctx").alias("k", "ctx")

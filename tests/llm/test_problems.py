@@ -364,8 +364,29 @@ def test_leak_blocks_agree(spark, monkeypatch):
     docs = [dict(doc_id=i, text=items[i]["text"]) for i in range(9)]
     d, i = frame(spark, DOC, docs), frame(spark, ITE, items)
     whole = got(leakage.leaks(d, i).select("doc_id", "item_id"))
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(leakage, "BLOCK", 70)
     assert got(leakage.leaks(d, i).select("doc_id", "item_id")) == whole == {(k, k) for k in range(9)}
+    monkeypatch.setattr(leakage, "BLOCK", 20)
+    with pytest.raises(ValueError):
+        leakage.leaks(d, i)
+
+
+def test_leak_in_many_short_pieces(spark):
+    """Every fifth word changed, in a passage of any length, with other pieces of it in between."""
+    rnd = random.Random(13)
+    w = passage(rnd, 400)
+    items = [dict(item_id=1, suite="s", text=" ".join(w)), dict(item_id=2, suite="s", text=" ".join(passage(rnd, 50)))]
+    noise = [x for k in range(0, 300, 30) for x in [*w[k : k + 6], "zz", "yy"]]
+    changed = [x if k < 20 or k % 5 else "qq" for k, x in enumerate(w)]
+    docs = [dict(doc_id=1, text=" ".join(noise + changed)), dict(doc_id=2, text=" ".join(noise[:8]))]
+    out = leakage.leaks(frame(spark, DOC, docs), frame(spark, ITE, items)).collect()
+    assert [(r.doc_id, r.item_id) for r in out] == [(1, 1)] and out[0].share > 0.75
+
+
+def test_instruction_of_a_suite(spark):
+    items = [dict(item_id=k, suite="s", text=f"Read this now: w{k} x{k} y{k}") for k in range(5)] + [dict(item_id=9, suite="s", text="Read on w9"), dict(item_id=10, text="Read this now"), dict(item_id=11, suite="s")]
+    own = {r.item_id: r.toks for r in leakage.own_passages(leakage.item_tokens(frame(spark, ITE, items))).collect()}
+    assert own == {k: [f"w{k}", f"x{k}", f"y{k}"] for k in range(5)} | {9: ["on", "w9"], 10: ["read", "this", "now"]}
 
 
 # problem 8
