@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
 from plumbline.operators.paths import both_ways, hop_distances
+from plumbline.operators.per_document import labels, numbered, solve
+from plumbline.session import stage
 
 #: Kinds of claims that a verdict may rest on.
 ASSERTING = ("asserted", "premise")
@@ -98,11 +101,36 @@ def _unkey(edges: DataFrame, key: str) -> tuple[Column, Column, Column]:
     return doc.cast(kind), claim, F.right(F.col(key), F.lit(1)).cast("int")
 
 
-def components(edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """``(doc_id, claim_id, component)``: the smallest claim connected to each claim; a lone claim is its own."""
+def _balance(doc, a, b, sign):
+    """Per claim of every document: the smallest claim connected to it, and whether both its parities are."""
+    (u, v), nodes = numbered([doc, a], [doc, b])
+    n, odd = len(nodes[0]), (np.asarray(sign, float) < 0).astype(np.int64)
+    part = labels(n, u, v)
+    cover = labels(2 * n, np.concatenate([2 * u, 2 * u + 1]), np.concatenate([2 * v + odd, 2 * v + 1 - odd]))
+    return nodes, nodes[1][part], cover[0::2] == cover[1::2]
+
+
+def _solved(edges: DataFrame, large) -> DataFrame:
+    """``(doc_id, claim_id, component, unbalanced)`` of the claims that have edges."""
+    e = edges.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("sign").cast("int").alias("sign"))
+
+    def kernel(doc, a, b, sign):
+        nodes, part, bad = _balance(doc, a, b, sign)
+        return nodes[0], [nodes[1], part, bad]
+
+    schema = f"doc_id {dict(edges.dtypes)['doc_id']}, claim_id int, component int, unbalanced boolean"
+    return solve(stage(e), ["a", "b", "sign"], kernel, schema, large)
+
+
+def _large_components(edges: DataFrame) -> DataFrame:
     cc = connected_components(edges.select(_key("a").alias("u"), _key("b").alias("v")))
     doc, claim, _ = _unkey(edges, "node")
-    cc = cc.select(doc.alias("doc_id"), claim.alias("claim_id"), _unkey(edges, "component")[1].alias("component"))
+    return cc.select(doc.alias("doc_id"), claim.alias("claim_id"), _unkey(edges, "component")[1].alias("component"), F.lit(False).alias("unbalanced"))
+
+
+def components(edges: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(doc_id, claim_id, component)``: the smallest claim connected to each claim; a lone claim is its own."""
+    cc = _solved(edges, _large_components).drop("unbalanced")
     return claims.select("doc_id", "claim_id").join(cc, ["doc_id", "claim_id"], "left").withColumn(
         "component", F.coalesce("component", "claim_id"))
 
@@ -114,25 +142,72 @@ def double_cover(edges: DataFrame) -> DataFrame:
         edges.select(_key("a", 1).alias("u"), _key("b", 1 - flip).alias("v")))
 
 
-def unbalanced_claims(edges: DataFrame) -> DataFrame:
-    """``(doc_id, claim_id)`` of the claims whose component no two-colouring fits: both parities are connected."""
+def _large_unbalanced(edges: DataFrame) -> DataFrame:
     cc = connected_components(double_cover(edges))
     both = cc.groupBy(F.expr("substring(node, 1, length(node) - 1)").alias("c"), "component").agg(F.count("*").alias("n"))
     both = both.where("n = 2").select(F.concat("c", F.lit("0")).alias("node"))
     doc, claim, _ = _unkey(edges, "node")
-    return both.select(doc.alias("doc_id"), claim.alias("claim_id"))
-
+    return both.select(doc.alias("doc_id"), claim.alias("claim_id"), F.lit(None).cast("int").alias("component"), F.lit(True).alias("unbalanced"))
 
-def frustrated_cycle_lengths(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """``(doc_id, length)`` of the shortest cycle with an odd number of negative edges, for documents that have one.
 
-    Distances from every (claim, 0) to (claim, 1) in the double cover, sought in unbalanced documents only.
+def unbalanced_claims(edges: DataFrame) -> DataFrame:
+    """``(doc_id, claim_id)`` of the claims whose component no two-colouring fits: both parities are connected."""
+    return _solved(edges, _large_unbalanced).where("unbalanced").select("doc_id", "claim_id")
+
+
+def _shortest(n: int, u: np.ndarray, v: np.ndarray, odd: np.ndarray) -> int:
+    """Length of the shortest closed walk with an odd number of odd edges; 0 if there is none. It is a cycle."""
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for x, y, p in zip(u.tolist(), v.tolist(), odd.tolist()):
+        near[x].append((y, p))
+        near[y].append((x, p))
+    best = 0
+    for s in range(n):
+        seen, front, hops = {(s, 0)}, [(s, 0)], 0
+        while front and not (best and hops + 1 >= best):
+            hops += 1
+            nxt = []
+            for x, p in front:
+                for y, q in near[x]:
+                    to = (y, p ^ q)
+                    if to not in seen:
+                        seen.add(to)
+                        nxt.append(to)
+            if (s, 1) in seen:
+                best = hops
+                break
+            front = nxt
+    return best
+
+
+def frustrated_cycle_lengths(edges: DataFrame) -> DataFrame:
+    """``(doc_id, length)`` of the shortest cycle with an odd number of negative edges, for documents that have one,
+    however long it is.
+
+    Distances from every (claim, 0) to (claim, 1) in the double cover, sought in unbalanced components only.
     """
-    bad = unbalanced_claims(edges)
-    docs = edges.join(bad.select("doc_id").distinct(), "doc_id", "left_semi")
-    hops = hop_distances(both_ways(double_cover(docs)), bad.select(_key("claim_id", 0).alias("source")), limit)
-    back = hops.where("node = concat(substring(source, 1, length(source) - 1), '1')")
-    return back.groupBy(_unkey(edges, "source")[0].alias("doc_id")).agg(F.min("hops").alias("length"))
+    e = stage(edges.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("sign").cast("int").alias("sign")))
+
+    def kernel(doc, a, b, sign):
+        (u, v), nodes = numbered([doc, a], [doc, b])
+        odd = (np.asarray(sign, float) < 0).astype(np.int64)
+        cover = labels(2 * len(nodes[0]), np.concatenate([2 * u, 2 * u + 1]), np.concatenate([2 * v + odd, 2 * v + 1 - odd]))
+        bad = np.flatnonzero((cover[0::2] == cover[1::2])[u])
+        found: dict[int, int] = {}
+        order = bad[np.argsort(doc[bad], kind="stable")]
+        for mine in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else []:
+            names, where = np.unique(np.concatenate([u[mine], v[mine]]), return_inverse=True)
+            found[int(doc[mine[0]])] = _shortest(len(names), where[: len(mine)], where[len(mine) :], odd[mine])
+        return np.array(list(found), np.int64), [np.array(list(found.values()), np.int64)]
+
+    def large(rows):
+        bad = _large_unbalanced(rows)
+        docs = rows.join(bad.select("doc_id").distinct(), "doc_id", "left_semi")
+        hops = hop_distances(both_ways(double_cover(docs)), bad.select(_key("claim_id", 0).alias("source")))
+        back = hops.where("node = concat(substring(source, 1, length(source) - 1), '1')")
+        return back.groupBy(_unkey(rows, "source")[0].alias("doc_id")).agg(F.min("hops").cast("int").alias("length"))
+
+    return solve(e, ["a", "b", "sign"], kernel, f"doc_id {dict(edges.dtypes)['doc_id']}, length int", large)
 
 
 def residual_ranking(residuals: DataFrame, least: Column, top: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import entity_graph as E
 from plumbline.operators import harmony as H
 from plumbline.operators import signed_graph as S
-from plumbline.plans.bindings import CLAIMS, ENTITY_RELATIONS, RELATIONS, claims, entity_relations, relations
+from plumbline.plans.bindings import CLAIMS, ENTITY_RELATIONS, RELATIONS, claims, entity_relations, pairs, relations
 from plumbline.plans.registry import Family
 from plumbline.session import stage
 
@@ -193,10 +193,14 @@ def _classed(spark, d):
     return r, stage(E.by_class(r, E.equality_classes(r)))
 
 
-def _arity(spark, d):
+def _arity_of(r):
     """The attribute O is binary, the others are not."""
     a = F.when(F.col("attribute") == "O", "binary").otherwise("multi").alias("arity")
-    return entity_relations(spark, d).select("doc_id", "attribute", a).distinct()
+    return r.select("doc_id", "attribute", a).distinct()
+
+
+def _arity(spark, d):
+    return _arity_of(entity_relations(spark, d))
 
 
 @family.query(
@@ -247,7 +251,8 @@ def gr17_order_cycle_lengths(spark, d):
     union all select distinct doc_id, attribute, 'order_cycle' from reach where s = v""",
 )
 def gr19_contradictions(spark, d):
-    return E.contradictions(entity_relations(spark, d), _arity(spark, d))
+    r = entity_relations(spark, d)
+    return E.contradictions(r, _arity_of(r))
 
 
 @family.query(
@@ -270,11 +275,12 @@ def gr19_contradictions(spark, d):
 def gr12_verdict(spark, d):
     """Every document with the clauses that fired: direct contradiction, unbalanced claims, entity contradiction."""
     c = stage(claims(spark, d))
-    e = stage(S.signed_edges(relations(spark, d)))
-    r = E.eligible(entity_relations(spark, d), c, S.THRESHOLD, S.ASSERTING)
+    p = pairs(spark, d, c)
+    e = stage(S.signed_edges(relations(spark, d, p)))
+    r = E.eligible(entity_relations(spark, d, p), c, S.THRESHOLD, S.ASSERTING)
     parts = {
         "direct": S.direct_pairs(e, c), "claim_balance": S.unbalanced_claims(e.where("weight >= 0.5")),
-        "entity": E.contradictions(r, _arity(spark, d)),
+        "entity": E.contradictions(r, _arity_of(r)),
     }
     out = c.select("doc_id").distinct()
     for name, hits in parts.items():

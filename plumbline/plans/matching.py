@@ -89,7 +89,7 @@ def jn10_superlatives(spark, d):
     x = r.where("kind = 'greater' and claim_id = 0").select(
         "doc_id", "claim_id", "attribute", F.col("a").alias("entity"), F.when(F.col("claim_id") % 2 == 0, "max").otherwise("min").alias("side"))
     p = r.select("doc_id", "attribute", F.col("a").alias("entity")).union(r.select("doc_id", "attribute", "b")).distinct()
-    return E.expand_superlatives(x, p, E.equality_classes(r))
+    return E.expand_superlatives(x, p, E.equality_classes(r)).drop("side")
 
 
 @q("jn28_closing_triples", f"""with g as (select distinct doc_id, attribute, a, b from ({ENTITY_RELATIONS}) q where kind = 'greater' and a <> b)

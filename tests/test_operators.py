@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import allocation, entity_graph, evaluation, facts, harmony, leak, metrics, sequences, signed_graph
+from plumbline.operators import allocation, entity_graph, evaluation, facts, harmony, leak, metrics, per_document, sequences, signed_graph
 from plumbline.operators.skew import lookup_join, salted_sum
 from plumbline.sources import files
 
@@ -74,18 +74,76 @@ def ent(spark, *rows):
     return spark.createDataFrame([("d", i, i, "age", k, a, b, 1.0) for i, (k, a, b) in enumerate(rows)], ENT)
 
 
-@pytest.mark.parametrize("rows, arity, want", [
-    ([("greater", "ana", "ben"), ("greater", "ben", "cy"), ("greater", "cy", "ana")], "multi", {"order_cycle"}),
-    ([("greater", "ana", "ben"), ("greater", "ben", "cy"), ("greater", "ana", "cy")], "multi", set()),
-    ([("greater", "ana", "ben"), ("same", "ben", "ana")], "unknown", {"order_cycle"}),
-    ([("greater", "ana", "ana")], "multi", {"order_cycle"}),
-    ([("different", "a", "b"), ("different", "b", "c"), ("different", "c", "a")], "binary", {"binary_parity"}),
-    ([("different", "a", "b"), ("different", "b", "c"), ("different", "c", "a")], "unknown", set()),
-    ([("same", "a", "b"), ("same", "b", "c"), ("different", "c", "a")], "multi", {"different_within_class"}),
-])
-def test_entity_contradictions(spark, rows, arity, want):
-    a = spark.createDataFrame([("d", "age", arity)], "doc_id string, attribute string, arity string")
-    assert {r["type"] for r in entity_graph.contradictions(ent(spark, *rows), a).collect()} == want
+def brute_contradictions(rows, binary):
+    """Every kind of contradiction by its definition: values tried out one by one, orders followed step by step."""
+    names = sorted({x for _, a, b in rows for x in (a, b)})
+    root = {x: x for x in names}
+    for _ in names:
+        for k, a, b in rows:
+            if k == "same":
+                root[a] = root[b] = min(root[a], root[b])
+    out = set()
+    if any(k == "different" and root[a] == root[b] for k, a, b in rows):
+        out.add("different_within_class")
+    apart = [(root[a], root[b]) for k, a, b in rows if k == "different" and root[a] != root[b]]
+    if binary and not any(all(m >> names.index(x) & 1 != m >> names.index(y) & 1 for x, y in apart) for m in range(1 << len(names))):
+        out.add("binary_parity")
+    reach = {(root[a], root[b]) for k, a, b in rows if k == "greater"}
+    for _ in names:
+        reach |= {(x, z) for x, y in reach for y2, z in reach if y == y2}
+    if any(x == y for x, y in reach):
+        out.add("order_cycle")
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1024])
+def test_entity_contradictions(spark, monkeypatch, most):
+    """Random documents by either way, the per-document one and the distributed one, against brute force."""
+    monkeypatch.setattr(per_document, "MOST", most)
+    rnd = random.Random(21)
+    docs = {}
+    for k in range(40):
+        n = rnd.randrange(2, 7)
+        docs[f"doc{k}"] = [(rnd.choice(["same", "different", "different", "greater", "greater"]), *(f"n{rnd.randrange(n)}" for _ in "ab")) for _ in range(rnd.randrange(1, 8))]
+    rows = [(d, i, i, "rank", *r, 1.0) for d, x in docs.items() for i, r in enumerate(x)]
+    arity = spark.createDataFrame([(d, "rank", "binary" if int(d[3:]) % 2 else "multi") for d in docs], "doc_id string, attribute string, arity string")
+    df = spark.createDataFrame(rows, ENT)
+    got = {d: set() for d in docs}
+    for r in entity_graph.contradictions(df, arity).collect():
+        got[r.doc_id].add(r.type)
+    assert got == {d: brute_contradictions(x, int(d[3:]) % 2 == 1) for d, x in docs.items()}
+    assert entity_graph.contradictions(df.limit(0), arity).count() == 0
+
+
+@pytest.mark.parametrize("most, n", [(0, 11), (1024, 70)])
+def test_cycles_of_any_length(spark, monkeypatch, most, n):
+    """A frustrated ring and an order ring beside short ones, by either way."""
+    monkeypatch.setattr(per_document, "MOST", most)
+    ring = lambda d, n, odd: [(d, i, i, (i + 1) % n, "contradicts" if odd and i == 0 else "supports", 1.0) for i in range(n)]
+    r = ring("long", n, True) + ring("even", 8, False) + ring("short", 5, True) + [("short", 9, 0, 2, "supports", 1.0)]
+    e = signed_graph.signed_edges(spark.createDataFrame(r, REL))
+    assert {tuple(x) for x in signed_graph.frustrated_cycle_lengths(e).collect()} == {("long", n), ("short", 3)}
+    bad = {}
+    for x in signed_graph.unbalanced_claims(e).collect():
+        bad[x.doc_id] = bad.get(x.doc_id, 0) + 1
+    assert bad == {"long": n, "short": 5}
+    claims_ = spark.createDataFrame([(d, i, "asserted") for d, k in (("long", n + 1), ("even", 8)) for i in range(k)], CLAIM)
+    parts = {(x.doc_id, x.claim_id): x.component for x in signed_graph.components(e, claims_).collect()}
+    assert parts == {("long", i): 0 for i in range(n)} | {("long", n): n} | {("even", i): 0 for i in range(8)}
+    rows = [("greater", f"n{i:02}", f"n{(i + 1) % n:02}") for i in range(n - 1)] + [("same", f"n{n - 1:02}", "n00")]
+    rows += [("greater", "x", "y"), ("same", "z", "y"), ("greater", "z", "w"), ("greater", "v", "u")]
+    df = ent(spark, *rows)
+    assert {tuple(x) for x in entity_graph.order_cycle_lengths(df).collect()} == {("d", "age", n)}
+    assert {tuple(x) for x in entity_graph.order_cycle_lengths(df.union(ent(spark, ("same", "x", "w")))).collect()} == {("d", "age", 4)}
+
+
+def test_superlative_collision(spark):
+    x = spark.createDataFrame([("d", 1, "age", "kim", "max"), ("d", 2, "age", "lou", "max"), ("d", 3, "age", "moe", "min")], "doc_id string, claim_id int, attribute string, entity string, side string")
+    p = spark.createDataFrame([("d", "age", n) for n in ("kim", "lou", "moe")], "doc_id string, attribute string, entity string")
+    c = spark.createDataFrame([], "doc_id string, attribute string, entity string, class string")
+    assert [tuple(r) for r in entity_graph.superlative_collisions(entity_graph.expand_superlatives(x, p, c)).collect()] == [("d", "age", "kim", "lou", "max")]
+    same = spark.createDataFrame([("d", "age", "kim", "kim"), ("d", "age", "lou", "kim")], c.schema)
+    assert entity_graph.superlative_collisions(entity_graph.expand_superlatives(x, p, same)).count() == 0
 
 
 def test_superlatives(spark):
@@ -96,10 +154,21 @@ def test_superlatives(spark):
     assert {(r.a, r.b) for r in out.collect()} == {("ana", "ben"), ("ana", "cy")}
 
 
-@pytest.mark.parametrize("total, weights, want", [(7, {"a": 5, "b": 3, "c": 2}, {"a": 4, "b": 2, "c": 1}), (10, {"a": 1, "b": 2}, {"a": 3, "b": 7}), (5, {"a": 0, "b": 0}, {"a": 0, "b": 0})])
-def test_largest_remainder(spark, total, weights, want):
-    df = spark.createDataFrame([("g", k, w, total) for k, w in weights.items()], "g string, k string, w long, total long")
-    assert {r.k: r.parts for r in allocation.largest_remainder(df, ["g"], "k", "w", "total", 1).collect()} == want
+def test_largest_remainder(spark):
+    """Against the definition: whole parts, then one more to the largest fractions."""
+    rnd = random.Random(22)
+    rows = [(g, k, rnd.randrange(0, 40), 17 + g) for g in range(12) for k in "pqrst"]
+    got = {(r.g, r.k): r.parts for r in allocation.largest_remainder(spark.createDataFrame(rows, "g int, k string, w long, total long"), ["g"], "k", "w", "total", 1).collect()}
+    for g in range(12):
+        mine = [(k, w) for x, k, w, _ in rows if x == g]
+        whole, total = sum(w for _, w in mine), 17 + g
+        exact = {k: w * total / whole for k, w in mine}
+        assert sum(got[g, k] for k, _ in mine) == total
+        assert all(got[g, k] in (int(x), int(x) + 1) for k, x in exact.items())
+        up, down = ([x - int(x) for k, x in exact.items() if got[g, k] - int(x) == n] for n in (1, 0))
+        assert min(up, default=1) >= max(down, default=0) - 1e-9
+    none = spark.createDataFrame([(1, "p", 0, 5), (1, "q", 0, 5)], "g int, k string, w long, total long")
+    assert {r.parts for r in allocation.largest_remainder(none, ["g"], "k", "w", "total", 1).collect()} == {0}
 
 
 def test_largest_remainder_sums(spark):
