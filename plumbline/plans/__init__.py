@@ -2,6 +2,6 @@
 
 
 def modules() -> list:
-    from plumbline.plans import consistency, evaluation, flows, matching, ordered, structures, texts
+    from plumbline.plans import consistency, evaluation, flows, matching, ordered, statements, structures, texts
 
-    return [consistency, evaluation, flows, matching, ordered, structures, texts]
+    return [consistency, evaluation, flows, matching, ordered, statements, structures, texts]
