@@ -177,6 +177,9 @@ class ItemIndex:
             codes = window_codes(ids, n)
             found[n].append((codes, np.full(len(codes), k), np.arange(len(codes))))
         self.sizes = np.array([max(1, len(x)) for x in self.ids])
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in self.ids])]).astype(np.int64)
+        self.all_ids = np.concatenate([*self.ids, np.empty(0, np.uint64)]).astype(np.int64)
+        self.all_rare = np.concatenate([*self.rare, np.empty(0, bool)])
         self.sets = {}
         for n, parts in found.items():
             codes, item, pos = (np.concatenate(x) for x in zip(*parts))
@@ -213,11 +216,16 @@ class ItemIndex:
             ends = np.cumsum(many)
             pick = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(offsets[at], many)
             item, ipos = flat[pick, 0], flat[pick, 1]
-            for k in np.unique(item).tolist():
-                # no more can agree than the tokens that are there at all, and without any rare one none count
-                there = present[self.ids[k].astype(np.int64)]
-                if there.sum() < share * self.sizes[k] or (n != N_CHARS and not (there & self.rare[k]).any()):
-                    continue
+            # no more can agree than the tokens that are there at all, and without any rare one none count
+            met = np.unique(item)
+            sizes = self.first[met + 1] - self.first[met]
+            start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            at = np.arange(sizes.sum()) - np.repeat(start - self.first[met], sizes)
+            there = present[self.all_ids[at]]
+            enough = np.add.reduceat(there, start, dtype=np.int64) >= share * sizes
+            if n != N_CHARS:
+                enough &= np.add.reduceat(there & self.all_rare[at], start, dtype=np.int64) > 0
+            for k in met[enough].tolist():
                 mine = item == k
                 got = self._covered(ids, k, list(zip(dpos[mine].tolist(), ipos[mine].tolist())))
                 if got >= share * self.sizes[k]:
