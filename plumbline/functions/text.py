@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Titles after which a full stop ends no sentence.
 TITLES = "Mr|Mrs|Ms|Dr|St|Prof"
@@ -25,6 +29,27 @@ def plain_words(c: Column) -> Column:
     return F.when(F.length(t) > 0, F.split(t, " ")).otherwise(F.array().cast("array<string>"))
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(c: Column) -> Column:
+    """Compatibility form (NFKC), caseless; plain ASCII never leaves the JVM's own functions' result."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(_folded(c))
+
+
+def folded_words(c: Column) -> Column:
+    """Words in compatibility form, caseless, without punctuation; an empty array for null, empty or mark-only text."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(folded(c), r"\p{P}", ""), r"[\s\p{Z}]+", " "))
+    return F.when(F.length(t) > 0, F.split(t, " ")).otherwise(F.array().cast("array<string>"))
+
+
+def review_form(c: Column) -> Column:
+    """Compatibility form, caseless, without quotation marks, blanks collapsed: how reviews compare statements."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(c), "[\u201c\u201d\u2018\u2019\"']", ""), r"[\s\p{Z}]+", " "))
+
+
 def word_grams(words: Column, k: int) -> Column:
     """Distinct runs of ``k`` words; none for shorter texts."""
 

@@ -156,33 +156,31 @@ def shapes(text: str) -> tuple[list[str], list[str]]:
     return tokens, out
 
 
-class Codes:
-    """Numbers of words and of runs of token shapes, the same in every task."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, names: list[str]) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        out = []
-        for x in names:
-            code = self.known.get(x)
-            if code is None:
-                code = self.known[x] = xxhash.xxh64_intdigest(x)
-            out.append(code)
-        return np.array(out, np.uint64)
-
-    def contexts(self, tokens: list[str], shape: list[str]) -> np.ndarray:
-        """For every token a row: the runs of so many shapes as ``CONTEXTS`` says that end with it, and its word."""
-        h = self.of(shape)
-        out = np.empty((len(h), len(CONTEXTS) + 1), np.uint64)
-        for x, k in enumerate(CONTEXTS):
-            out[:, x] = k
-            for j in range(min(k, len(h))):
-                out[j:, x] += h[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15 >> 3 * j | 1)
-        out[:, -1] = self.of(["w|" + t.lower() for t in tokens])
-        return out.view(np.int64)
+class Codes(dict):
+    """Numbers of words and token shapes, the same in every task."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[name] = xxhash.xxh64_intdigest(name)
+        return code
+
+
+def contexts(shapes_: list[int], words: list[int], place: list[int]) -> np.ndarray:
+    """For every token a row: the runs of so many shapes as ``CONTEXTS`` says that end with it, and its word. ``place``
+    is the token's place in its reply: runs do not reach back into the reply before."""
+    h, at = np.array(shapes_, np.uint64), np.array(place)
+    out = np.empty((len(h), len(CONTEXTS) + 1), np.uint64)
+    parts = [h]
+    for j in range(1, max(CONTEXTS)):
+        back = np.zeros_like(h)
+        back[j:] = h[:-j] * np.uint64(0x9E3779B97F4A7C15 >> 3 * j | 1)
+        back[at < j] = 0
+        parts.append(back)
+    for x, k in enumerate(CONTEXTS):
+        out[:, x] = sum(parts[:k], np.uint64(k))
+    out[:, -1] = words
+    return out.view(np.int64)
 
 
 def open_delimiters(text: str) -> bool:
@@ -210,81 +208,95 @@ def _endings(tokens: list[str], shape: list[str]) -> tuple[list[int], list[bool]
     return at, end
 
 
-def _added(codes: list[np.ndarray], ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, sentence ends, occurrences) of each code once; what was added before has its counts in ``ends``."""
-    keys, where = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.concatenate(ends)
-    return keys, np.bincount(where, n[:, 0]).astype(np.int64), np.bincount(where, n[:, 1]).astype(np.int64)
+class Counts:
+    """How often each context stands before a final mark, and at all."""
+
+    def __init__(self):
+        self.codes: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, codes: np.ndarray, ends: np.ndarray):
+        self.codes.append(codes.ravel())
+        self.times.append(np.stack([np.repeat(ends, codes.shape[1]), np.ones(codes.size, np.int64)], 1))
+
+    def __len__(self) -> int:
+        return sum(map(len, self.codes))
+
+    def shrink(self):
+        keys, where = np.unique(np.concatenate(self.codes), return_inverse=True)
+        n = np.concatenate(self.times)
+        self.codes, self.times = [keys], [np.stack([np.bincount(where, n[:, i]).astype(np.int64) for i in (0, 1)], 1)]
+
+    def frame(self) -> pd.DataFrame:
+        self.shrink()
+        out = {"reply_id": None, "verdict": None, "must": None, "final": None, "ctx": None, "known": None}
+        out |= {"code": self.codes[0], "n_end": self.times[0][:, 0], "n_all": self.times[0][:, 1]}
+        self.codes, self.times = [], []
+        return pd.DataFrame(out)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over the replies: what each shows by itself with the contexts whose counts must say whether it is
     finished, and (rows with a null reply) how often each context stands before a final mark and at all."""
-    refusals, numbers = _automaton(), Codes()
-    codes: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
-
-    def counted():
-        keys, n_end, n_all = _added(codes, ends)
-        codes[:], ends[:] = [keys], [np.stack([n_end, n_all], 1)]
-        return pd.DataFrame({"reply_id": None, "verdict": None, "must": None, "final": None, "known": None, "ctx": None,
-                             "code": keys, "n_end": n_end, "n_all": n_all})
-
+    refusals, numbers, counts = _automaton(), Codes(), Counts()
     for pdf in batches:
-        rows = []
+        rows, kinds, words, place, at, ends = [], [], [], [], [], []
         for rid, request, output, stop in zip(pdf["reply_id"], pdf["request"], pdf["output"], pdf["stop_reason"]):
             text, cut = rationale_of(output)
-            if text:
-                tokens, shape = shapes(text)
-                at, end = _endings(tokens, shape)
-                if at:
-                    mine = numbers.contexts(tokens, shape)[at]
-                    codes.append(mine.ravel())
-                    flag = np.repeat(np.array(end, np.int64), mine.shape[1])
-                    ends.append(np.stack([flag, np.ones_like(flag)], 1))
-            rows.append((rid, *_judge(request, text, cut, stop, refusals, numbers)))
+            tokens, shape = shapes(text) if text else ([], [])
+            first = len(kinds)
+            kinds.extend([numbers[x] for x in shape])
+            words.extend([numbers["w|" + t.lower()] for t in tokens])
+            place.extend(range(len(shape)))
+            mine, end = _endings(tokens, shape)
+            at.extend([first + i for i in mine])
+            ends.extend(end)
+            verdict, must, final, last, known = _judge(request, text, cut, stop, tokens, refusals)
+            rows.append((rid, verdict, must, final, None if last is None else first + last, known))
+        runs = contexts(kinds, words, place)
+        counts.add(runs[at], np.array(ends, np.int64))
         out = pd.DataFrame(rows, columns=["reply_id", "verdict", "must", "final", "ctx", "known"])
+        out["ctx"] = [[] if np.isnan(i) else runs[int(i)].tolist() for i in out["ctx"].astype(float)]
         yield out.assign(code=None, n_end=None, n_all=None)
-        if codes:
-            if sum(map(len, codes)) > HELD:
-                counted()  # adds up in place
-            if sum(map(len, codes)) > HELD // 2:
-                yield counted()
-                codes.clear()
-                ends.clear()
-    if codes:
-        yield counted()
-
-
-def _judge(request: str | None, text: str | None, cut: bool, stop: str | None, refusals, numbers: Codes):
-    """(verdict, must, final, ctx, known): what one reply shows by itself, see ``defects``."""
-    verdict, must, final, ctx, known = None, cut, False, [], False
+        if len(counts) > HELD:
+            counts.shrink()
+            if len(counts) > HELD // 2:
+                yield counts.frame()
+    if len(counts):
+        yield counts.frame()
+
+
+def _judge(request: str | None, text: str | None, cut: bool, stop: str | None, tokens: list[str], refusals):
+    """(verdict, must, final, last, known): what one reply shows by itself, see ``defects``; ``last`` is the place of
+    the word that the text ends with, null if it ends otherwise."""
+    verdict, must, final, last, known = None, cut, False, None, False
     low = (text or "").lower().replace("’", "'")
     unquoted = _QUOTED.sub(" ", low)
     if (stop or "").strip().lower() in REFUSED_STOPS or next(refusals.iter(unquoted), None):
-        return "refusal", must, final, ctx, known
+        return "refusal", must, final, last, known
     if not has_content(text):
-        return "empty", must, final, ctx, known
+        return "empty", must, final, last, known
     words = bare_words(text)
     asked = bare_words(request) if request else []
     there = set(asked)
     if len(words) >= 2 and sum(w in there for w in words) >= 0.7 * len(words):
         spare = max(2, round(0.2 * len(words))) if len(words) > 2 else 0
         if len(words) - SuffixAutomaton(asked).coverage(words, min(3, len(words))) <= spare:
-            return "copy", must, final, ctx, known
-    stripped = text.rstrip().rstrip("\"'”’»“)]}」』）》").rstrip()
+            return "copy", must, final, last, known
+    whole = text.rstrip()
+    bare = whole.rstrip("\"'”’»“)]}」』）》")
+    stripped = bare.rstrip()
     final = bool(_FINAL.search(stripped))
     must = must or open_delimiters(text) or bool(re.search(r"[\w][-‐–]$|[,;:，、；：]$", stripped))
-    tokens, shape = shapes(_FINAL.sub("", stripped))
-    if tokens and tokens[-1][0].isalnum():
-        most = max(CONTEXTS)
-        ctx = numbers.contexts(tokens[-most:], shape[-most:])[-1].tolist()
-        known = tokens[-1][0].isdigit() or (tokens[-1][0].isupper() and tokens[-1].lower() in there)
+    left = len(tokens) - (len(whole) - len(bare)) - final  # each closing mark, and the final marks, are a token
+    if left > 0 and tokens[left - 1][0].isalnum():
+        last, t = left - 1, tokens[left - 1]
+        known = t[0].isdigit() or (t[0].isupper() and t.lower() in there)
     if request:
         a, b = language_votes(request), language_votes(_QUOTED.sub(" ", text))
         if a[0] and b[0] and a[0] != b[0] and a[2] >= 2 and b[1] >= 2 and b[2] >= 1:
             verdict = "language"
-    return verdict, must, final, ctx, known
+    return verdict, must, final, last, known
 
 
 def latest_replies(llm: DataFrame) -> DataFrame:

@@ -2,6 +2,6 @@
 
 
 def modules() -> list:
-    from plumbline.plans import consistency, evaluation, flows, matching, ordered, relational, statements, structures, texts
+    from plumbline.plans import consistency, evaluation, flows, matching, ordered, relational, statements, structures, texts, verification
 
-    return [consistency, evaluation, flows, matching, ordered, relational, statements, structures, texts]
+    return [consistency, evaluation, flows, matching, ordered, relational, statements, structures, texts, verification]
