@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from plumbline.operators.skew import salted_sum
 from plumbline.session import parallelism, stage, table
 
-#: Vocabulary file of the public tokenizer and combinations that enter the least-squares problem, at most.
+#: Vocabulary file of the public tokenizer.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-COMBINATIONS = 1500
-#: Lengths that the plan tells apart; in larger capacities they are rounded up to whole grains, at most to the capacity.
+#: How shallow combinations are: so many weighty lengths are tried as the second part of three, and so many lengths as
+#: the last part. Every length that occurs is the first part of some.
+PARTNERS, COMPLETIONS = 12, 2
+#: Lengths that the plan tells apart, as it is made on the driver. In capacities above, lengths are rounded up to whole
+#: grains of capacity / LENGTHS, so an item takes at most that much more room than it needs.
 LENGTHS = 1 << 15
 _ENCODERS: dict = {}
 
@@ -55,67 +58,72 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
     return counted.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Shallow combinations, {length: copies}, that fill ``capacity`` to within the smallest useful window.
+def combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Shallow combinations that fill ``capacity`` to within a small window, a row each: up to three times (index of a
+    length, copies), copies 0 where there are fewer parts.
 
-    For each length: copies of it alone, and copies of it with one or two lengths that complete them.
+    For each length: copies of it alone, and copies of it with one or two lengths that complete them; the weightiest
+    lengths first, as they fill most of the containers. No more copies than there are.
     """
-    have = dict(zip(lengths.tolist(), counts.tolist()))
     window = max(1, capacity // 512)
-    # the weightiest lengths first: they fill most of the containers
-    order = lengths[np.argsort(-(lengths * counts), kind="stable")].tolist()
-    out: dict[tuple, dict[int, int]] = {}
-
-    def add(parts: list[int]) -> None:
-        c: dict[int, int] = {}
-        for x in parts:
-            c[x] = c.get(x, 0) + 1
-        if all(have[x] >= n for x, n in c.items()):
-            out.setdefault(tuple(sorted(c.items())), c)
-
-    for a in order[: COMBINATIONS // 3]:
-        for k in {capacity // a, max(1, capacity // (2 * a)), 1}:
-            if len(out) >= COMBINATIONS:
-                return list(out.values())
-            rest = capacity - k * a
-            if rest < 0:
-                continue
-            if rest <= window:
-                add([a] * k)
-                continue
-            near = lengths[np.searchsorted(lengths, rest - window) : np.searchsorted(lengths, rest, "right")]
-            for b in near[-2:].tolist():
-                add([a] * k + [b])
-            for b in order[:12]:
-                twice = rest - b
-                if twice <= 0:
-                    continue
-                near = lengths[np.searchsorted(lengths, twice - window) : np.searchsorted(lengths, twice, "right")]
-                if len(near):
-                    add([a] * k + [b, int(near[-1])])
-    return list(out.values())
-
-
-def nonnegative_counts(lengths: np.ndarray, counts: np.ndarray, combos: list[dict[int, int]], sweeps: int = 40) -> np.ndarray:
+    order = np.argsort(-(lengths * counts), kind="stable")
+    partners = order[:PARTNERS]
+    none = np.zeros(len(order), np.int64)
+    rows, rank = [], np.arange(len(order))
+
+    def add(ok, *parts):
+        rows.append(np.stack([rank, *parts], 1)[ok])
+
+    def last(room, back):
+        """Index of the ``back``-th longest length that fits into ``room``, and whether it fills it."""
+        i = np.searchsorted(lengths, room, "right") - 1 - back
+        return np.maximum(i, 0), (i >= 0) & (room > 0) & (lengths[np.maximum(i, 0)] >= room - window)
+
+    size = lengths[order]
+    for copies in (capacity // size, np.maximum(1, capacity // (2 * size)), none + 1):
+        rest = capacity - copies * size
+        full = rest <= window
+        add((rest >= 0) & full, order, copies, none, none, none, none)
+        for back in range(COMPLETIONS):
+            i, ok = last(rest, back)
+            add((rest >= 0) & ~full & ok, order, copies, i, none + 1, none, none)
+        for p in partners.tolist():
+            i, ok = last(rest - lengths[p], 0)
+            add((rest >= 0) & ~full & ok, order, copies, none + p, none + 1, i, none + 1)
+    c = np.concatenate(rows)
+    c = c[np.argsort(c[:, 0], kind="stable"), 1:]
+    for x, y in ((0, 2), (0, 4), (2, 4)):  # the same length twice is one part
+        same = (c[:, x] == c[:, y]) & (c[:, y + 1] > 0)
+        c[same, x + 1] += c[same, y + 1]
+        c[same, y + 1] = 0
+    c = c[np.all([counts[c[:, x]] >= c[:, x + 1] for x in (0, 2, 4)], 0)]
+    _, first = np.unique(c, axis=0, return_index=True)
+    return c[np.sort(first)]
+
+
+def nonnegative_counts(lengths: np.ndarray, counts: np.ndarray, combos: np.ndarray, sweeps: int = 40) -> np.ndarray:
     """How often to use each combination: non-negative least squares against the histogram, weighted by length, by
-    coordinate descent."""
-    at = {x: i for i, x in enumerate(lengths.tolist())}
+    coordinate descent. After the first sweep over all combinations those in use are refined, and all again at the end
+    of every eighth."""
     weight = lengths / lengths.max()
-    cols = [(np.array([at[x] for x in c]), np.array(list(c.values()), float)) for c in combos]
-    cols = [(i, a * weight[i], float(((a * weight[i]) ** 2).sum())) for i, a in cols]
-    left = counts * weight
-    use = np.zeros(len(combos))
-    for _ in range(sweeps):
+    parts = [[(i, k * weight[i]) for i, k in ((r[0], r[1]), (r[2], r[3]), (r[4], r[5])) if k] for r in combos.tolist()]
+    square = [sum(a * a for _, a in p) for p in parts]
+    left = (counts * weight).tolist()
+    use = [0.0] * len(parts)
+    for sweep in range(sweeps):
         moved = 0.0
-        for p, (i, a, square) in enumerate(cols):
-            new = max(0.0, use[p] + float(a @ left[i]) / square)
-            if new != use[p]:
-                left[i] -= a * (new - use[p])
-                moved = max(moved, abs(new - use[p]))
+        every = sweep % 8 == 0
+        for p in range(len(parts)) if every else [p for p, u in enumerate(use) if u]:
+            new = max(0.0, use[p] + sum(a * left[i] for i, a in parts[p]) / square[p])
+            by = new - use[p]
+            if by:
+                for i, a in parts[p]:
+                    left[i] -= a * by
+                moved = max(moved, abs(by))
                 use[p] = new
-        if moved < 0.05:
+        if every and moved < 0.05:
             break
-    return use
+    return np.array(use)
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -125,18 +133,18 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int,
         return []
     counts = np.array([histogram[x] for x in lengths.tolist()], int)
     left = counts.copy()
-    at = {x: i for i, x in enumerate(lengths.tolist())}
     plan: list[tuple[int, dict[int, int]]] = []
     combos = combinations(lengths, counts, capacity)
-    if combos:
-        use = nonnegative_counts(lengths, counts.astype(float), combos)
-        for p in np.argsort(-use, kind="stable").tolist():
-            c = combos[p]
-            n = min([int(use[p]), *[int(left[at[x]]) // k for x, k in c.items()]])
-            if n > 0:
-                plan.append((n, c))
-                for x, k in c.items():
-                    left[at[x]] -= n * k
+    use = nonnegative_counts(lengths, counts.astype(float), combos) if len(combos) else np.zeros(0)
+    for p in np.argsort(-use, kind="stable").tolist():
+        if use[p] < 0.5:
+            break
+        c = [(int(combos[p, x]), int(combos[p, x + 1])) for x in (0, 2, 4) if combos[p, x + 1]]
+        n = min([int(use[p] + 0.5), *[int(left[i]) // k for i, k in c]])
+        if n > 0:
+            plan.append((n, {int(lengths[i]): k for i, k in c}))
+            for i, k in c:
+                left[i] -= n * k
     # the rest: the largest item first, then always the largest that fits, each filling repeated while it can be
     alive = np.flatnonzero(left)
     while len(alive):
