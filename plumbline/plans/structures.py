@@ -8,6 +8,8 @@ from plumbline.operators import facts as C
 from plumbline.operators import metrics as M
 from plumbline.operators.evaluation import purity
 from plumbline.operators.paths import both_ways, hop_distances
+from plumbline.plans.bindings import CLAIMS, ENTITY_RELATIONS, entity_relations
+from plumbline.plans.consistency import _CLASSED, _ORDER, _PARITY, _arity_of
 from plumbline.plans.registry import Family
 from plumbline.session import stage, table
 
@@ -219,4 +221,82 @@ def sv7_leave_one_out(spark, d):
     return g.select("doc_id", "subject", "attribute", ((F.col("k") == 2) & (F.col("least") == 1)).alias("single_cause"))
 
 
+_COLOURED = f"""f as (select doc_id, attribute, case kind when 'greater' then 'value' else kind end kind, a, b, case when kind = 'greater' then b % 3 end v, case attribute when 'O' then 2 when 'P' then 1 else 3 end most
+  from ({ENTITY_RELATIONS}) z where kind <> 'greater' or rel_id % 4 = 0),
+asg as (select unnest(range(2187)) i), x as (select doc_id, attribute, i, any_value(most) most, bool_and(case kind when 'same' then (i // 3 ** a) % 3 = (i // 3 ** b) % 3 when 'different' then (i // 3 ** a) % 3 <> (i // 3 ** b) % 3 else (i // 3 ** a) % 3 = v end) ok,
+  bit_or(cast(case when kind = 'value' then 1 << cast((i // 3 ** a) % 3 as int) else (1 << cast((i // 3 ** a) % 3 as int)) | (1 << cast((i // 3 ** b) % 3 as int)) end as int)) used from f cross join asg group by 1, 2, 3)"""
+
+
+@q("sv2_within_values", f"""with {_COLOURED.replace("3 ** a", "cast(power(3, a) as bigint)").replace("3 ** b", "cast(power(3, b) as bigint)")}
+select doc_id, attribute, coalesce(bool_or(ok and bit_count(used) <= most), false) as fits from x group by 1, 2""")
+def sv2_within_values(spark, d):
+    """Whether each attribute's entities can do with one, two or three values; some have theirs named."""
+    from plumbline.operators.cores import within_values
+
+    r = stage(entity_relations(spark, d).where("kind <> 'greater' or rel_id % 4 = 0"))
+    value = F.when(F.col("kind") == "greater", F.col("b") % 3)
+    facts = r.select("doc_id", "attribute", F.when(F.col("kind") == "greater", "value").otherwise(F.col("kind")).alias("kind"), "a",
+                     F.when(F.col("kind") != "greater", F.col("b")).alias("b"), value.alias("value"))
+    most = F.when(F.col("attribute") == "O", 2).when(F.col("attribute") == "P", 1).otherwise(3)
+    return within_values(facts, r.select("doc_id", "attribute", most.alias("most")).distinct())
+
+
+_IDENTITY = """select l_suppkey as doc_id, case when l_quantity <= 4 then 'conflate' else 'distinct' end as kind, l_partkey as a, l_partkey + l_suppkey % 5 + case when l_quantity <= 4 then 1 else 2 end as b
+from lineitem where l_quantity <= 4 or l_quantity > 47"""
+
+
+@q("sv4_satisfiable", f"""with recursive {_FACTS}, i as ({_IDENTITY}), two as (select doc_id, a u, b v from i where kind = 'conflate' union select doc_id, b, a from i where kind = 'conflate'),
+w as (select distinct doc_id, u s, u v from two union select w.doc_id, w.s, t.v from w join two t on t.doc_id = w.doc_id and t.u = w.v), cls as (select doc_id, s entity, min(v) c from w group by 1, 2),
+r as (select f.doc_id, coalesce(cls.c, subject) subject, attribute, value, negated from f left join cls on cls.doc_id = f.doc_id and cls.entity = f.subject),
+bad as (select distinct i.doc_id from i left join cls x on x.doc_id = i.doc_id and x.entity = i.a left join cls y on y.doc_id = i.doc_id and y.entity = i.b where kind = 'distinct' and coalesce(x.c, i.a) = coalesce(y.c, i.b)),
+g as (select doc_id, subject, attribute, count(distinct value) filter (not negated) v, list_distinct(list(value) filter (not negated)) h, list_distinct(list(value) filter (negated)) l from r group by 1, 2, 3)
+select doc_id, count(*) as subjects, count(*) filter (v > 1 or coalesce(len(list_intersect(h, l)), 0) > 0) as conflicts, doc_id in (select doc_id from bad) as identity_conflict from g group by 1""")
+def sv4_satisfiable(spark, d):
+    """Facts by the identity of their subjects: subjects and attributes that cannot all hold, and documents in which one
+    subject is said to be two."""
+    from plumbline.operators.cores import one_identity
+
+    few = F.col("l_quantity") <= 4
+    identity = table(spark, d, "lineitem").where("l_quantity <= 4 or l_quantity > 47").select(
+        F.col("l_suppkey").alias("doc_id"), F.when(few, "conflate").otherwise("distinct").alias("kind"), F.col("l_partkey").alias("a"),
+        (F.col("l_partkey") + F.col("l_suppkey") % 5 + F.when(few, 1).otherwise(2)).alias("b"))
+    facts, bad = one_identity(_facts(spark, d), stage(identity))
+    facts = stage(facts)
+    all_ = facts.select("doc_id", "subject", "attribute").distinct().groupBy("doc_id").agg(F.count("*").alias("subjects"))
+    hit = C.value_conflicts(facts).groupBy("doc_id").agg(F.count("*").alias("conflicts"))
+    out = all_.join(hit, "doc_id", "left").join(bad.withColumn("identity_conflict", F.lit(True)), "doc_id", "left")
+    return out.select("doc_id", "subjects", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), F.coalesce("identity_conflict", F.lit(False)).alias("identity_conflict"))
+
+
+@q("sv5_minimal_cores")
+def sv5_minimal_cores(spark, d):
+    """One minimal list of relations that cannot all hold, for every attribute that contradicts itself."""
+    from plumbline.operators.cores import minimal_cores
+
+    r = stage(entity_relations(spark, d))
+    return minimal_cores(r, _arity_of(r))
+
+
+@q("sv6_naive_readings", f"""with recursive {_CLASSED}, {_PARITY.replace("and attribute = 'O'", "")}, {_ORDER}, k as (select doc_id, claim_id from ({CLAIMS}) q where kind in ('asserted', 'premise')),
+ t as (select distinct doc_id, attribute from c where kind = 'different' and ca = cb union select doc_id, attribute from reach where s = v)
+select distinct doc_id, attribute, 'two values' as reading from odd o where s = v and p = 1 and attribute <> 'O' and not exists (select 1 from t where t.doc_id = o.doc_id and t.attribute = o.attribute)""")
+def sv6_naive_readings(spark, d):
+    """Attributes that only contradict themselves if they are taken to have two values."""
+    from plumbline.operators.entity_graph import contradictions
+
+    r = stage(entity_relations(spark, d))
+    two = contradictions(r, r.select("doc_id", "attribute", F.lit("binary").alias("arity")).distinct()).select("doc_id", "attribute").distinct()
+    real = contradictions(r, _arity_of(r)).select("doc_id", "attribute")
+    return two.join(real, ["doc_id", "attribute"], "left_anti").withColumn("reading", F.lit("two values"))
+
+
+@q("sv6_naive_cores")
+def sv6_naive_cores(spark, d):
+    """The relations that a reader who takes every attribute to have two values would flag."""
+    from plumbline.operators.cores import minimal_cores
+
+    r = stage(entity_relations(spark, d))
+    return minimal_cores(r, r.select("doc_id", "attribute", F.lit("binary").alias("arity")).distinct())
+
+
 queries, oracle_sql = family.queries, family.oracle_sql

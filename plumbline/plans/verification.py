@@ -53,8 +53,8 @@ def sf4_words(spark, d):
 
 @q("sf7_found", f"""with {_LAST}, {_SENT.replace("r as (", "r2 as (").replace("from r)", "from r2)")}, n as (select record_id, pos, trim(regexp_replace(regexp_replace(replace(replace(lower(sentence), chr(160), ' '), '…', '...'), '[“”‘’"'']', '', 'g'), '\\s+', ' ', 'g')) k from s),
 d as (select record_id, pos, k from n where pos in (0, 1, 2)), p as (select r.record_id, x.f f from r where x.f is not null), src as (select record_id, x.d d from r where x.d is not null),
-m as (select p.record_id, d.k, max(case when n.k is not null then 1 else 0 end) hit from p join src on src.d = p.f join d on d.record_id = src.record_id left join n on n.record_id = p.record_id and n.k = d.k group by 1, 2)
-select record_id, count(*) as sentences, cast(sum(hit) as bigint) as hits, sum(hit) >= least(2, count(*)) as found from m group by 1""")
+hits as (select p.record_id, d.k, max(case when n.k is not null then 1 else 0 end) hit from p join src on src.d = p.f join d on d.record_id = src.record_id left join n on n.record_id = p.record_id and n.k = d.k group by 1, 2)
+select record_id, count(*) as sentences, cast(sum(hit) as bigint) as hits, sum(hit) >= least(2, count(*)) as found from hits group by 1""")
 def sf7_found(spark, d):
     """Whether a derived record still holds at least two of its source's first three sentences, compared in review form:
     compatibility form, caseless, without quotes."""
