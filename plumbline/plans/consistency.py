@@ -295,11 +295,55 @@ def gr6_harmony(spark, d):
     return H.harmony(S.signed_edges(relations(spark, d)), claims(spark, d))
 
 
+#: The energy's minimum by Jacobi rounds, from +1; what nobody asserts or fixes is left out, as are its components.
+_MINIMUM = f"""{_FIRST}, k as (select doc_id, claim_id, kind, {{fixed}} fixed from ({CLAIMS}) q), two as (select doc_id, a u, b v, sign * weight sw, weight w from e union all select doc_id, b, a, sign * weight, weight from e),
+reach as (select doc_id, claim_id from k where (fixed or kind = 'asserted') union select r.doc_id, t.v from reach r join two t on t.doc_id = r.doc_id and t.u = r.claim_id),
+n as (select k.doc_id, k.claim_id, fixed, case when kind = 'asserted' then 1.0 else 0.0 end pull, coalesce((select sum(w) from two where two.doc_id = k.doc_id and u = k.claim_id), 0) deg from k join reach using (doc_id, claim_id)),
+x as (select 0 i, doc_id, claim_id, cast(1.0 as double) x from n
+  union all select s.i + 1, s.doc_id, s.claim_id, s.x from (select x.i, n.doc_id, n.claim_id, case when any_value(n.fixed) then 1.0 when any_value(n.pull + n.deg) = 0 then any_value(x.x)
+      else (any_value(n.pull) + coalesce(sum(t.sw * y.x), 0)) / any_value(n.pull + n.deg) end x
+    from x join n on n.doc_id = x.doc_id and n.claim_id = x.claim_id left join two t on t.doc_id = n.doc_id and t.u = n.claim_id left join x y on y.doc_id = t.doc_id and y.claim_id = t.v and y.i = x.i
+    where x.i < 200 group by 1, 2, 3) s),
+z as (select doc_id, claim_id, x from x where i = 200),
+er as (select e.doc_id, e.a, e.b, e.weight, e.weight * power(p.x - e.sign * q.x, 2) er from e join z p on p.doc_id = e.doc_id and p.claim_id = e.a join z q on q.doc_id = e.doc_id and q.claim_id = e.b),
+own as (select n.doc_id, sum(pull * power(z.x - 1, 2)) own, count(*) filter (pull > 0 and deg > 0) rel from n join z using (doc_id, claim_id) group by 1),
+h as (select doc_id, case when ew.w > 0 then 1 - (ew.er + own.own) / (4 * ew.w + 4 * rel) end as harmony from own left join (select doc_id, sum(er) er, sum(weight) w from er group by 1) ew using (doc_id))"""
+
+
+def _solution(fixed, what):
+    return f"with recursive {_MINIMUM.format(fixed=fixed)} {what}"
+
+
+_HARMONY = f"select distinct q.doc_id, h.harmony from ({CLAIMS}) q left join h on h.doc_id = q.doc_id"
+
+
+@family.query("gr8_harmony", _solution("kind = 'premise'", _HARMONY), floats="harmony")
+def gr8_harmony(spark, d):
+    """Harmony of every document."""
+    return H.harmony(S.signed_edges(relations(spark, d)), claims(spark, d)).select("doc_id", "harmony")
+
+
 @family.query("gr9_claim_residuals")
 def gr9_claim_residuals(spark, d):
     return H.assignments(S.signed_edges(relations(spark, d)), claims(spark, d))
 
 
+@family.query("gr11_culprits")
+def gr11_culprits(spark, d):
+    """The three claims of each document that fit worst, and what becomes of it without each."""
+    c = stage(claims(spark, d))
+    return H.culprits(S.signed_edges(relations(spark, d, pairs(spark, d, c))), c)
+
+
+@family.query("gr13_with_evidence", _solution("(kind = 'premise' or k % 5 = 0)", _HARMONY), floats="harmony")
+def gr13_with_evidence(spark, d):
+    """Harmony of every document once some of its claims are found to hold (here: those of every fifth order), from
+    the relations that are there."""
+    c = stage(claims(spark, d))
+    e = S.signed_edges(relations(spark, d, pairs(spark, d, c)))
+    return H.harmony(e, c, c.where("k % 5 = 0").select("doc_id", "claim_id")).select("doc_id", "harmony")
+
+
 @family.query("wn2_top_residuals")
 def wn2_top_residuals(spark, d):
     r = stage(H.assignments(S.signed_edges(relations(spark, d)), claims(spark, d)))

@@ -54,20 +54,53 @@ def test_first_relation_wins(spark):
     assert signed_graph.signed_edges(r.limit(0)).count() == 0
 
 
-def test_large_documents_agree_with_the_kernel(spark, monkeypatch):
+def test_large_components_agree_with_the_kernel(spark, monkeypatch):
+    """Anchored, balanced and unbalanced loose components, lone claims and documents without edges, by either way."""
     rnd = random.Random(3)
-    edges = [(a, b, rnd.choice([1, 1, -1]), rnd.uniform(0.1, 1)) for a in range(12) for b in range(a + 1, 12) if rnd.random() < 0.35]
-    edges += [(i, i + 1, 1, 0.5) for i in range(11)]
-    e = signed_graph.signed_edges(graph(spark, *edges))
-    c = spark.createDataFrame([("d", i, ["asserted", "premise", "quoted"][i % 3]) for i in range(12)], CLAIM)
-    small = {r.claim_id: r for r in harmony.assignments(e, c).collect()}
-    h = harmony.harmony(e, c).first()["harmony"]
-    monkeypatch.setattr(harmony, "DENSE", 4)
-    large = {r.claim_id: r for r in harmony.assignments(e, c).collect()}
-    for i in range(12):
-        assert large[i]["x"] == pytest.approx(small[i]["x"], abs=1e-6)
-        assert large[i]["residual"] == pytest.approx(small[i]["residual"], abs=1e-6)
-    assert harmony.harmony(e, c).first()["harmony"] == pytest.approx(h, abs=1e-6)
+    rows, kinds = [], []
+    add = lambda d, a, b, s: rows.append((d, len(rows), a, b, "supports" if s > 0 else "contradicts", rnd.uniform(0.2, 1)))
+    for a, b, s in ((0, 1, 1), (1, 2, -1), (0, 2, 1), (2, 3, 1)):
+        add("d", a, b, s)
+    kinds += [("d", i, ["asserted", "premise", "quoted"][i % 3]) for i in range(4)]
+    for a, b, s in ((20, 21, 1), (21, 22, -1)):
+        add("d", a, b, s)  # balanced, nobody asserts it
+    for a, b, s in ((30, 31, 1), (31, 32, 1), (30, 32, -1)):
+        add("d", a, b, s)  # frustrated, nobody asserts it
+    kinds += [("d", i, "quoted") for i in (20, 21, 22, 30, 31, 32)] + [("d", 50, "asserted"), ("lone", 0, "asserted"), ("lone", 1, "quoted")]
+    e = signed_graph.signed_edges(spark.createDataFrame(rows, REL))
+    c = spark.createDataFrame(kinds, CLAIM)
+    both = []
+    monkeypatch.setattr(harmony, "RTOL", 1e-5)
+    for dense in (1024, 2):
+        monkeypatch.setattr(harmony, "DENSE", dense)
+        both.append(({(r.doc_id, r.claim_id): r for r in harmony.assignments(e, c).collect()}, {r.doc_id: r for r in harmony.harmony(e, c).collect()}))
+    (small, hs), (large, hl) = both
+    assert small.keys() == large.keys() and len(small) == 13
+    for k, r in small.items():
+        assert large[k]["x"] == pytest.approx(r["x"], abs=1e-2), k
+        assert large[k]["residual"] == pytest.approx(r["residual"], abs=1e-2) and large[k]["scale"] == pytest.approx(r["scale"])
+    for d in ("d", "lone"):
+        assert hl[d]["conflict"] == pytest.approx(hs[d]["conflict"], abs=1e-3) and hl[d]["anchored"] == hs[d]["anchored"]
+        assert hl[d]["harmony"] == pytest.approx(hs[d]["harmony"], abs=1e-4)
+    assert hs["lone"]["harmony"] is None and hs["d"]["anchored"] == 2
+
+
+def test_iterations_that_do_not_settle_fail(spark, monkeypatch):
+    e = signed_graph.signed_edges(graph(spark, *[(i, i + 1, 1, 1.0) for i in range(6)]))
+    monkeypatch.setattr(harmony, "DENSE", 3)
+    monkeypatch.setattr(harmony, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        harmony.harmony(e, spark.createDataFrame([("d", i, "asserted" if i else "quoted") for i in range(7)], CLAIM)).count()
+
+
+def test_culprits(spark):
+    """Leaving the claim out that contradicts all others settles the document."""
+    e = signed_graph.signed_edges(graph(spark, (0, 1, 1, 1.0), (1, 2, 1, 1.0), (0, 2, 1, 1.0), (0, 3, -1, 1.0), (1, 3, -1, 1.0), (2, 3, -1, 1.0)))
+    out = {r.claim_id: r for r in harmony.culprits(e, claims(spark, 4)).collect()}
+    assert out[3]["rank"] == 1 and out[3]["harmony_change"] > 0 and len(out) == 3
+    rest = signed_graph.signed_edges(graph(spark, (0, 1, 1, 1.0), (1, 2, 1, 1.0), (0, 2, 1, 1.0)))
+    want = harmony.harmony(rest, claims(spark, 3)).first()["harmony"] - harmony.harmony(e, claims(spark, 4)).first()["harmony"]
+    assert out[3]["harmony_change"] == pytest.approx(want)
 
 
 def ent(spark, *rows):
