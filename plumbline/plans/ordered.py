@@ -30,6 +30,30 @@ def wn3_chain_breaks(spark, d):
     return out.select("seq", fault.alias("fault")).where("fault is not null")
 
 
+_CHAIN = """e as (select seq, kind, coalesce(doc_id, '') d, coalesce(decision, '') c, prev, hash from (select *, row_number() over (partition by seq order by received_at, hash) rn from decisions) z where rn = 1),
+k as (select seq, sha256(concat_ws('|', 'e', seq - 1, coalesce(prev, ''))) prev, sha256(concat_ws('|', 'e', seq, coalesce(hash, ''))) hash, sha256(concat_ws('|', seq, kind, d, c)) stated, sha256(concat_ws('|', seq, kind, d, case when seq % 41 = 0 then c || '!' else c end)) found from e)"""
+
+
+@q("wn3_recomputed", f"""with {_CHAIN}, l as (select seq, stated, found, case when seq % 43 = 0 then prev else p.link end link, p.link is null gap from k left join (select seq + 1 as seq, hash link from k where seq % 53 <> 0) p using (seq))
+select seq, case when gap then 'gap' when stated <> found then 'altered' when seq % 43 = 0 then 'broken' end as fault from l where seq > (select min(seq) from k) and (gap or stated <> found or seq % 43 = 0)""")
+def wn3_recomputed(spark, d):
+    """A log whose entries' digests are computed anew: entries that were altered after they were signed, whose
+    predecessor is gone, or that name another predecessor than they follow. Such faults are planted here; every entry is
+    checked on its own and against the one before it, by a join."""
+    e = table(spark, d, "decisions").groupBy("seq").agg(F.min_by(F.struct(
+        "kind", F.coalesce("doc_id", F.lit("")).alias("d"), F.coalesce("decision", F.lit("")).alias("c"), "prev", "hash"), F.struct("received_at", "hash")).alias("x")).select("seq", "x.*")
+    digest = lambda *cols: F.sha2(F.concat_ws("|", *cols), 256)
+    text = F.col("seq").cast("string")
+    changed = F.when(F.col("seq") % 41 == 0, F.concat("c", F.lit("!"))).otherwise(F.col("c"))
+    own = digest(F.lit("e"), text, F.coalesce("hash", F.lit("")))
+    e = e.select("seq", own.alias("own"), digest(text, "kind", "d", "c").alias("stated"), digest(text, "kind", "d", changed).alias("found"))
+    before = e.where("seq % 53 <> 0").select((F.col("seq") + 1).alias("seq"), F.col("own").alias("link"))
+    named = F.when(F.col("seq") % 43 == 0, F.lit("another")).otherwise(F.col("link"))
+    l = e.join(before, "seq", "left").withColumn("named", named).join(F.broadcast(e.agg(F.min("seq").alias("lo"))), F.col("seq") > F.col("lo"))
+    fault = F.when(F.col("link").isNull(), "gap").when(F.col("stated") != F.col("found"), "altered").when(F.col("named") != F.col("link"), "broken")
+    return l.select("seq", fault.alias("fault")).where("fault is not null")
+
+
 @q("wn4_seed_order", """with d as (select run, min(seq) filter (kind = 'quota_seed') a, min(seq) filter (kind = 'split_seed') b, min(seq) filter (kind = 'sample_seed') c,
  min(seq) filter (kind = 'decision') e, count(distinct seq) filter (kind like '%seed') seeds from decisions group by 1)
 select run, seeds, coalesce(a < e and b < e, false) as seeds_first, coalesce(a < b, false) as quota_first from d""")
@@ -53,7 +77,7 @@ def wn8_value_levels(spark, d):
 
 @q("wn9_level_ratio", """with m as (select o_orderstatus, date_trunc('year', o_orderdate) y, sum(o_totalprice) x, count(*) n from orders group by 1, 2),
 l as (select o_orderstatus, year(y) lvl, x, n, lag(x) over w px, lag(n) over w pn from m window w as (partition by o_orderstatus order by y))
-select o_orderstatus, lvl, ln(x / px) / nullif(ln(n * 1.0 / pn), 0) as exponent from l where px > 0 and pn > 0""", floats="exponent", digits=4)
+select o_orderstatus, lvl, ln(x / px) / nullif(ln(n * 1.0 / pn), 0) as exponent from l where px > 0 and pn > 0""", floats="exponent")
 def wn9_level_ratio(spark, d):
     m = table(spark, d, "orders").groupBy("o_orderstatus", F.year("o_orderdate").cast("long").alias("lvl")).agg(F.sum("o_totalprice").alias("x"), F.count("*").alias("n"))
     w = Window.partitionBy("o_orderstatus").orderBy("lvl")
@@ -61,14 +85,17 @@ def wn9_level_ratio(spark, d):
     return l.select("o_orderstatus", "lvl", (F.log(F.col("x") / F.col("px")) / F.nullif(F.log(F.col("n") / F.col("pn")), F.lit(0.0))).alias("exponent"))
 
 
-@q("wn10_sliding_slope", """with d as (select user_id, ts::date as d1, sum(value) v from events group by 1, 2), x as (select *, date_diff('day', date '2024-01-01', d1) x from d)
-select user_id, x, case when count(*) over w >= 3 then regr_slope(v, x) over w end as slope from x window w as (partition by user_id order by x rows 6 preceding)""", floats="slope", digits=3)
+@q("wn10_sliding_slope", """with d as (select user_id, ts::date as d1, cast(sum(round(value * 100)) as bigint) v from events group by 1, 2), x as (select *, date_diff('day', date '2024-01-01', d1) x from d),
+s as (select user_id, x, count(*) over w n, cast(sum(x) over w as double) sx, cast(sum(v) over w as double) sy, cast(sum(x * v) over w as double) sxy, cast(sum(x * x) over w as double) sxx from x window w as (partition by user_id order by x rows 6 preceding))
+select user_id, x, case when n >= 3 then (n * sxy - sx * sy) / (n * sxx - sx * sx) / 100 end as slope from s""", floats="slope")
 def wn10_sliding_slope(spark, d):
-    """Slope of a user's daily sums over the last seven days with events."""
-    x = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    g = table(spark, d, "events").groupBy("user_id", x.alias("x")).agg(F.sum("value").alias("v"))
+    """Slope of a user's daily sums over the last seven days with events, from whole cents: no sum depends on the order."""
+    x = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
+    g = table(spark, d, "events").groupBy("user_id", x.alias("x")).agg(F.sum(F.round(F.col("value") * 100)).cast("long").alias("v"))
     w = Window.partitionBy("user_id").orderBy("x").rowsBetween(-6, 0)
-    return g.select("user_id", F.col("x").cast("long").alias("x"), F.when(F.count("*").over(w) >= 3, F.regr_slope("v", "x").over(w)).alias("slope"))
+    sums = {"n": F.count("*"), "sx": F.sum("x"), "sy": F.sum("v"), "sxy": F.sum(F.col("x") * F.col("v")), "sxx": F.sum(F.col("x") * F.col("x"))}
+    g = g.select("user_id", "x", *[c.over(w).cast("double").alias(k) for k, c in sums.items()])
+    return g.select("user_id", "x", F.when(F.col("n") >= 3, F.expr("(n * sxy - sx * sy) / (n * sxx - sx * sx) / 100")).alias("slope"))
 
 
 @q("wn11_bounded_log", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 20")
@@ -252,24 +279,14 @@ def jn23_inside(spark, d):
     return Q.interval_join(points, spans, "user_id", "ts", "s", "e", 3 * 3600).select("span_id", "event_id")
 
 
-@q("jn14_missing_reviews", """with v as (select distinct doc_id, trim(regexp_replace(lower(reviewer), '[\\s_-]+', ' ', 'g')) r from decisions where kind = 'decision' and doc_id is not null and reviewer is not null),
-n as (select distinct r from v order by r limit 5), w as (select distinct doc_id from v)
-select w.doc_id, n.r as reviewer from w cross join n where not exists (select 1 from v where v.doc_id = w.doc_id and v.r = n.r)""")
-def jn14_missing_reviews(spark, d):
-    """Documents and reviewers of a panel of five without a vote: each document's own votes are taken off the panel,
-    so the documents are not multiplied before a join."""
-    key = F.trim(F.regexp_replace(F.lower("reviewer"), r"[\s_-]+", " "))
-    v = table(spark, d, "decisions").where("kind = 'decision' and doc_id is not null and reviewer is not null").select("doc_id", key.alias("r")).distinct()
-    panel = F.broadcast(v.select("r").distinct().orderBy("r").limit(5).agg(F.collect_list("r").alias("panel")))
-    on_panel = v.join(panel, F.array_contains("panel", F.col("r")), "left")
-    done = on_panel.groupBy("doc_id").agg(F.collect_set(F.when(F.col("panel").isNotNull(), F.col("r"))).alias("done"))
-    return done.join(panel).select("doc_id", F.explode(F.array_except("panel", "done")).alias("reviewer"))
+_MISSING = """with v as (select distinct doc_id, trim(regexp_replace(lower(reviewer), '[\\s_-]+', ' ', 'g')) r from decisions where kind = 'decision' and doc_id is not null and reviewer is not null),
+n as (select distinct r from v), w as (select distinct doc_id from v)
+select w.doc_id, n.r as reviewer from w cross join n where not exists (select 1 from v where v.doc_id = w.doc_id and v.r = n.r)"""
 
 
-@q("jn14_all_missing_reviews", """with v as (select distinct doc_id, trim(regexp_replace(lower(reviewer), '[\\s_-]+', ' ', 'g')) r from decisions where kind = 'decision' and doc_id is not null and reviewer is not null),
-n as (select distinct r from v), w as (select distinct doc_id from v)
-select w.doc_id, n.r as reviewer from w cross join n where not exists (select 1 from v where v.doc_id = w.doc_id and v.r = n.r)""")
-def jn14_all_missing_reviews(spark, d):
+@q("jn14_missing_reviews", _MISSING)
+@q("jn14_all_missing_reviews", _MISSING)
+def jn14_missing_reviews(spark, d):
     """Documents and reviewers without a vote, over all reviewers: the reviewers go to every task as one row, and each
     document's own are taken off."""
     key = F.trim(F.regexp_replace(F.lower("reviewer"), r"[\s_-]+", " "))

@@ -137,10 +137,10 @@ def sf24_all_rotations(spark, d):
     return o.select("o_custkey", F.array_join(X.canonical_cycle(F.col("c")), ",").alias("cycle"))
 
 
-@q("sf27_unordered_keys", "select distinct least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey) as key from lineitem where l_returnflag <> 'A'")
+@q("sf27_unordered_keys", "select distinct least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey) as key from lineitem")
 def sf27_unordered_keys(spark, d):
     k = F.concat_ws("|", F.least("l_suppkey", "l_partkey").cast("string"), F.greatest("l_suppkey", "l_partkey").cast("string"))
-    return table(spark, d, "lineitem").where("l_returnflag <> 'A'").select(k.alias("key")).distinct()
+    return table(spark, d, "lineitem").select(k.alias("key")).distinct()
 
 
 def _sentences(spark, d):
@@ -235,12 +235,13 @@ def src3_cache_hits(spark, d):
     return r.join(first, "k").select("reply_id", (F.struct("t0", "reply_id") > F.col("f")).alias("hit"))
 
 
-@q("src6_ordered_answers", """with r as (select reply_id, arg_max(schema_name, created_at) s, arg_max(model, created_at) m, min(created_at) t0 from llm group by 1)
-select reply_id, cast(row_number() over (partition by s, m, t0::date order by t0, reply_id) as int) as kth from r""")
+@q("src6_ordered_answers", """with r as (select reply_id, arg_max(coalesce(schema_name, ''), created_at) s, arg_max(coalesce(model, ''), created_at) m, sha256(arg_max(coalesce(request, ''), created_at)) h, min(created_at) t0 from llm group by 1)
+select reply_id, cast(row_number() over (partition by h, s, m order by t0, reply_id) as int) as kth from r""")
 def src6_ordered_answers(spark, d):
-    """The k-th answer to the same question of a day: what an ordered replay would return next."""
-    r = table(spark, d, "llm").groupBy("reply_id").agg(F.max_by("schema_name", "created_at").alias("s"), F.max_by("model", "created_at").alias("m"), F.min("created_at").alias("t0"))
-    w = Window.partitionBy("s", "m", F.to_date("t0")).orderBy("t0", "reply_id")
+    """The k-th answer to the same request, schema and model: what an ordered replay would return next."""
+    last = lambda c: F.max_by(F.coalesce(c, F.lit("")), "created_at")
+    r = table(spark, d, "llm").groupBy("reply_id").agg(last("schema_name").alias("s"), last("model").alias("m"), F.sha2(last("request"), 256).alias("h"), F.min("created_at").alias("t0"))
+    w = Window.partitionBy("h", "s", "m").orderBy("t0", "reply_id")
     return r.select("reply_id", F.row_number().over(w).alias("kth"))
 
 
