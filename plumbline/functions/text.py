@@ -15,7 +15,7 @@ TITLES = "Mr|Mrs|Ms|Dr|St|Prof"
 
 def normalize_ws(c: Column) -> Column:
     """Runs of blanks as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
 
 
 def simple_sentences(c: Column) -> Column:
@@ -25,7 +25,7 @@ def simple_sentences(c: Column) -> Column:
 
 def plain_words(c: Column) -> Column:
     """Lower-case words without punctuation; an empty array for null, empty or mark-only text."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{P}", ""), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{P}", ""), r"[\s\p{Z}]+", " "))
     return F.when(F.length(t) > 0, F.split(t, " ")).otherwise(F.array().cast("array<string>"))
 
 

@@ -15,7 +15,7 @@ family = Family()
 q = family.query
 
 _RECORDS = "r as (select record_id, arg_max(coalesce(text, ''), (exported_at, text)) as text from export_records group by 1)"
-_PLAIN = "trim(regexp_replace(regexp_replace(lower(text), '\\p{P}', '', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower(text), '\\p{P}', '', 'g'), '[\\s\\pZ]+', ' ', 'g'))"
 
 
 def records(spark, d):
@@ -30,12 +30,12 @@ def prj2_canonical_key(spark, d):
     return u.withColumn("key", canonical_key(F.col("plant_type")))
 
 
-@q("sf1_normalize_ws", f"with {_RECORDS} select record_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as n from r")
+@q("sf1_normalize_ws", f"with {_RECORDS} select record_id, length(trim(regexp_replace(text, '[\\s\\pZ]+', ' ', 'g'))) as n from r")
 def sf1_normalize_ws(spark, d):
     return records(spark, d).select("record_id", F.length(X.normalize_ws(F.col("text"))).cast("long").alias("n"))
 
 
-@q("sf2_sentences", f"""with {_RECORDS}, m as (select record_id, text t0, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\b(Mr|Mrs|Ms|Dr|St|Prof)\\.', '\\1' || chr(1), 'g') t from r)
+@q("sf2_sentences", f"""with {_RECORDS}, m as (select record_id, text t0, regexp_replace(trim(regexp_replace(text, '[\\s\\pZ]+', ' ', 'g')), '\\b(Mr|Mrs|Ms|Dr|St|Prof)\\.', '\\1' || chr(1), 'g') t from r)
 select record_id, len(string_split(regexp_replace(t, '([.!?]) ([A-Z])', '\\1' || chr(2) || '\\2', 'g'), chr(2))) as sentences from m""")
 def sf2_sentences(spark, d):
     return records(spark, d).select("record_id", F.size(X.simple_sentences(F.col("text"))).cast("long").alias("sentences"))
@@ -118,19 +118,14 @@ def sf22_circular_mean(spark, d):
     return g.select("user_id", F.atan2("s", "c").alias("angle"), (F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")) / F.col("n")).alias("strength"))
 
 
-@q("sf24_cycle_rotation", """with o as (select o_custkey, list(o_orderkey order by md5('' || o_orderkey)) c from orders group by 1 having count(*) between 3 and 12),
+_ROTATED = """with o as (select o_custkey, list(o_orderkey order by md5('' || o_orderkey)) c from orders group by 1 having count(*) >= 3),
 t as (select o_custkey, c, list_position(c, list_min(c)) p from o), u as (select o_custkey, list_concat(c[p:], c[:p - 1]) f from t)
-select o_custkey, array_to_string(case when f[2] <= f[len(f)] then f else list_concat(f[:1], list_reverse(f[2:])) end, ',') as cycle from u""")
-def sf24_cycle_rotation(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.md5(F.col("o_orderkey").cast("string")).alias("h"), "o_orderkey"))).alias("c"))
-    o = o.where(F.size("c").between(3, 12)).select("o_custkey", F.col("c.o_orderkey").alias("c"))
-    return o.select("o_custkey", F.array_join(X.canonical_cycle(F.col("c")), ",").alias("cycle"))
+select o_custkey, array_to_string(case when f[2] <= f[len(f)] then f else list_concat(f[:1], list_reverse(f[2:])) end, ',') as cycle from u"""
 
 
-@q("sf24_all_rotations", """with o as (select o_custkey, list(o_orderkey order by md5('' || o_orderkey)) c from orders group by 1 having count(*) >= 3),
-t as (select o_custkey, c, list_position(c, list_min(c)) p from o), u as (select o_custkey, list_concat(c[p:], c[:p - 1]) f from t)
-select o_custkey, array_to_string(case when f[2] <= f[len(f)] then f else list_concat(f[:1], list_reverse(f[2:])) end, ',') as cycle from u""")
-def sf24_all_rotations(spark, d):
+@q("sf24_cycle_rotation", _ROTATED)
+@q("sf24_all_rotations", _ROTATED)
+def sf24_cycle_rotation(spark, d):
     """Cycles of three and more orders, however long."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.md5(F.col("o_orderkey").cast("string")).alias("h"), "o_orderkey"))).alias("c"))
     o = o.where(F.size("c") >= 3).select("o_custkey", F.col("c.o_orderkey").alias("c"))
@@ -148,7 +143,7 @@ def _sentences(spark, d):
     return s.where("length(sentence) > 0")
 
 
-_SENT = f"""{_RECORDS}, m as (select record_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\b(Mr|Mrs|Ms|Dr|St|Prof)\\.', '\\1' || chr(1), 'g') t from r),
+_SENT = f"""{_RECORDS}, m as (select record_id, regexp_replace(trim(regexp_replace(text, '[\\s\\pZ]+', ' ', 'g')), '\\b(Mr|Mrs|Ms|Dr|St|Prof)\\.', '\\1' || chr(1), 'g') t from r),
 l as (select record_id, string_split(regexp_replace(t, '([.!?]) ([A-Z])', '\\1' || chr(2) || '\\2', 'g'), chr(2)) l from m),
 s as (select record_id, i - 1 as pos, replace(l[i], chr(1), '.') as sentence from l, lateral (select unnest(range(1, len(l) + 1)) i) x where l[i] <> '')"""
 
@@ -201,7 +196,7 @@ def wn6_sentence_offsets(spark, d):
     return s.select("record_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("words_before"))
 
 
-_GRAMS = """w as (select {key} as k, string_split(trim(regexp_replace(regexp_replace(lower(text), '\\p{{P}}', '', 'g'), '\\s+', ' ', 'g')), ' ') w from {t} where text is not null),
+_GRAMS = """w as (select {key} as k, string_split(trim(regexp_replace(regexp_replace(lower(text), '\\p{{P}}', '', 'g'), '[\\s\\pZ]+', ' ', 'g')), ' ') w from {t} where text is not null),
 g as (select distinct k, array_to_string(w[i:i + 7], ' ') g from w, lateral (select unnest(range(1, len(w) - 6)) i) t)"""
 
 
@@ -216,6 +211,18 @@ def lk2_shared_runs(spark, d):
     return leak.search(table(spark, d, "documents"), "doc_id", table(spark, d, "eval_items"), "item_id")
 
 
+@q("lk2_exact_leaks", f"""with {_RECORDS}, i as (select record_id, {_PLAIN} t from r where text <> ''), e as (select doc_id, text from export_records where doc_id is not null),
+h as (select distinct doc_id, md5({_PLAIN}) h, text from e where text <> ''), m as (select distinct split_part(text, ' ', 2) mark from r where record_id % 50 = 0 and length(split_part(text, ' ', 2)) > 6)
+select distinct doc_id, cast(i.record_id as varchar) as found, 'text' as what from h join i on md5(i.t) = h.h union select distinct doc_id, mark, 'mark' from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) mark from h) w join m using (mark)""")
+def lk2_exact_leaks(spark, d):
+    """Documents that are a record's whole text apart from case and marks, or hold a mark as a word (here: second words
+    of some records stand in for canaries)."""
+    r = records(spark, d)
+    marks = r.where("record_id % 50 = 0").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("mark")).where("length(mark) > 6")
+    e = table(spark, d, "export_records").where("doc_id is not null").select("doc_id", "text")
+    return leak.exact_leaks(e, "doc_id", r, "record_id", marks)
+
+
 @q("st4_own_grams", f"""with {_GRAMS.format(key='item_id', t='eval_items')}, c as (select g, count(*) n from g group by 1) select k as item_id, count(*) as own from g join c using (g) where n = 1 group by 1""")
 def st4_own_grams(spark, d):
     """Each item's word runs that no other item has: shared instructions drop out."""

@@ -208,7 +208,7 @@ def sc6_scan_trust(spark, d):
     return s.groupBy("scan").agg(F.count_if(hit).alias("caught"), F.count_if(~hit).alias("missed"), ((F.count_if(F.col("defects") > 0) > 0) & F.bool_and(hit)).alias("trusted"))
 
 
-@q("rm21_whole_sentences", f"""with {_SENT}, e as (select record_id, pos, sentence from s where pos % 4 = 0), p as (select record_id, sentence, min(pos) first, count(*) n from s group by 1, 2), t as (select record_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from r)
+@q("rm21_whole_sentences", f"""with {_SENT}, e as (select record_id, pos, sentence from s where pos % 4 = 0), p as (select record_id, sentence, min(pos) first, count(*) n from s group by 1, 2), t as (select record_id, trim(regexp_replace(text, '[\\s\\pZ]+', ' ', 'g')) t from r)
 select e.record_id, e.pos, p.first, (length(t) - length(replace(t, e.sentence, ''))) // length(e.sentence) as times, p.n = 1 and (length(t) - length(replace(t, e.sentence, ''))) // length(e.sentence) = 1 as whole
 from e join p on p.record_id = e.record_id and p.sentence = e.sentence join t on t.record_id = e.record_id""")
 def rm21_whole_sentences(spark, d):

@@ -16,6 +16,16 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).mode("errorifexists").json(path)
 
 
+def append_json_lines(df: DataFrame, path: str) -> None:
+    """Append to a log of JSON lines: every call adds files, none is changed."""
+    df.write.option("ignoreNullFields", False).mode("append").json(path)
+
+
+def log_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A log of JSON lines as a stream of its files."""
+    return spark.readStream.schema(schema).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("errorifexists").csv(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -68,6 +69,56 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("spent"))
 
 
+def sliding_turns(stream: DataFrame, key: str = "user_id", width: int = 5) -> DataFrame:
+    """``(event_id, key, turn)``: how far a phase has turned over the last ``width`` events of its key, unwrapped step by
+    step; null before a key has so many. ``stream(key, ts, event_id, phase)``, events of a key in time order from batch to
+    batch; within a batch any order will do.
+
+    Only the last ``width + 1`` events of a key are kept between batches, as a table. A batch is bounded by the stream's
+    source options, and its rows go through one window over the key whose frame is ``width`` rows.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/plumbline/streams/{uuid.uuid4().hex}"
+    cols = [key, "ts", "event_id", "phase"]
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*cols, F.lit(True).alias("new"))
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{base}/kept/number={number - 1}").select(*cols, F.lit(False).alias("new")))
+        rows = stage(rows)
+        step = F.col("phase") - F.lag("phase").over(order)
+        turned = rows.withColumn("step", step - 2 * math.pi * F.round(step / (2 * math.pi)))
+        last = order.rowsBetween(1 - width, 0)
+        turn = F.when(F.count("step").over(last) == width, F.sum("step").over(last))
+        turned.withColumn("turn", turn).where("new").select("event_id", key, "turn").write.mode("overwrite").parquet(f"{base}/out/number={number}")
+        back = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
+        kept = rows.withColumn("k", F.row_number().over(back)).where(F.col("k") <= width + 1)
+        kept.select(*cols).write.mode("overwrite").parquet(f"{base}/kept/number={number}")
+
+    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("number")
+
+
+def sealed_blocks(stream: DataFrame, columns: list[str]) -> DataFrame:
+    """``(block, rows, seal)``: an append-only log of the stream's batches. A block's seal is the digest of the seal
+    before it, its number of rows and the exclusive or of its rows' digests, which does not depend on their order; so a
+    row that is changed, dropped or moved to another block breaks every later seal, and no block is gathered."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/plumbline/streams/{uuid.uuid4().hex}"
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+
+    def append(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        before = s.read.parquet(f"{base}/log/block={number - 1}").first()["seal"] if number else ""
+        part = batch.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("long")), F.lit(0)).alias("fold"))
+        seal = F.sha2(F.concat_ws("|", F.lit(before), F.col("rows").cast("string"), F.col("fold").cast("string")), 256)
+        part.select("rows", seal.alias("seal")).write.mode("overwrite").parquet(f"{base}/log/block={number}")
+
+    stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/log").select(F.col("block").cast("long").alias("block"), "rows", "seal")
+
+
 def drift_alarms(events: DataFrame, key: str = "event_type", weight: float = 0.05, limit: float = 3.0) -> DataFrame:
     """Per key the number of values that lie more than ``limit`` deviations from an exponentially weighted mean of what
     came before, without looking ahead; state is kept between batches. Values of one batch are taken in time order.
