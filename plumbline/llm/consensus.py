@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import lookup_join
 from plumbline.session import parallelism, stage, table
 
 LABELS = ["accept", "discard", "regenerate"]
 FEATURES = ["plant_type", "variant", "provider", "difficulty_level"]
 #: Up to so many annotators every task holds all confusion matrices (9 doubles each); beyond, they are joined.
 HELD = 50_000
-#: Feature categories; more than so many are folded together by hash.
-CATEGORIES = 4096
+#: Weights of the classifier: a feature's value has its weight by hash, so different values hardly ever share one.
+CATEGORIES = 1 << 16
 ROUNDS, RIDGE = 40, 4.0
 #: Weight of one canary, against one vote, and counts that every annotator starts with.
 CANARY_WEIGHT, START = 0.3, 3.0
@@ -29,7 +30,7 @@ CANARY_WEIGHT, START = 0.3, 3.0
 
 def reviewer_key(c: Column) -> Column:
     """One reviewer whatever the case, outer blanks or separators; null if nothing is left."""
-    k = F.trim(F.regexp_replace(F.lower(c), r"[\s_\p{Pd}]+", " "))
+    k = F.trim(F.regexp_replace(F.lower(c), r"[\s\p{Z}_\p{Pd}]+", " "))
     return F.when(k != "", k)
 
 
@@ -132,7 +133,7 @@ class Consensus:
 def _with_likelihoods(items: DataFrame, confusion: DataFrame) -> DataFrame:
     """Items with, for each vote, the log-probabilities of its annotator giving it under each truth."""
     long = items.select("doc_id", "f", F.explode(F.arrays_zip("r", "v")).alias("x")).select("doc_id", "f", "x.r", "x.v")
-    got = long.join(confusion, "r").select(
+    got = lookup_join(long, confusion, "r", long.groupBy("r").agg(F.count("*").alias("n")), "inner").select(
         "doc_id", "f", "r", "v", F.array(*[F.log(F.get("m", F.col("v") + 3 * t)) for t in range(3)]).alias("l"))
     return got.groupBy("doc_id").agg(
         F.first("f").alias("f"), F.collect_list("r").alias("r"), F.collect_list("v").alias("v"),
@@ -196,10 +197,13 @@ def fit(decisions: DataFrame, scores: DataFrame, records: DataFrame, held: int =
 def _fit_held(model: Consensus, prior: np.ndarray) -> None:
     n = len(model.names)
     confusion = prior / prior.sum(2, keepdims=True)
+    spark = model.items.sparkSession
     for step in range(ROUNDS):
-        logs, weights = np.log(confusion), model.weights
+        weights = model.weights
+        sent = spark.sparkContext.broadcast((np.log(confusion), weights))
 
-        def sums(batches, logs=logs, weights=weights):
+        def sums(batches, sent=sent):
+            logs, weights = sent.value
             c, w, h = np.zeros(n * 9), np.zeros((CATEGORIES, 3)), np.zeros((CATEGORIES, 3))
             for pdf in batches:
                 if not len(pdf):
@@ -217,6 +221,7 @@ def _fit_held(model: Consensus, prior: np.ndarray) -> None:
             })
 
         got = model.items.mapInPandas(sums, "kind int, k long, x double").groupBy("kind", "k").agg(F.sum("x").alias("x")).toPandas()
+        sent.destroy()
         parts = [np.zeros(n * 9), np.zeros(CATEGORIES * 3), np.zeros(CATEGORIES * 3)]
         for kind, part in enumerate(parts):
             mine = got[got["kind"] == kind]

@@ -14,6 +14,7 @@ def queries():
         "p2_reviewers": consensus.p2_reviewers,
         "p3_found": related.p3_found,
         "p3_splits": related.p3_splits,
+        "p3_report": related.p3_report,
         "p4_found": quota.p4_found,
         "p4_sample": quota.p4_sample,
         "p4_report": quota.p4_report,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
@@ -22,7 +22,7 @@ def base_key(base_id: Column) -> Column:
 
 
 def label_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s_\p{Pd}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{Z}_\p{Pd}]+", " "))
 
 
 def latest_records(records: DataFrame, labels: list[str] | None = None) -> DataFrame:
@@ -143,6 +143,24 @@ def stratified_splits(records: DataFrame, plan: DataFrame, labels: list[str]) ->
     return lookup_join(g, splits, "group_id", sizes)
 
 
+def split_shares(records: DataFrame, splits: DataFrame, plan: DataFrame, labels: list[str]) -> DataFrame:
+    """``(label, split, records, share_pct, planned_pct)``: how each label's records, and ``all`` of them, came to lie.
+
+    ``splits`` as of ``stratified_splits``. Splits that got none of a label have a row with 0.
+    """
+    r = latest_records(records, labels).select("record_id", *labels)
+    marks = F.explode(F.array_compact(F.array(
+        F.lit("all"), *[F.concat(F.lit(f"{c}="), label_key(F.col(c).cast("string"))) for c in labels])))
+    got = stage(r.join(splits.select("record_id", "split"), "record_id").select("split", marks.alias("label")).groupBy("label", "split").agg(F.count("*").alias("n")))
+    p = plan.select("split", F.col("share_pct").cast("double").alias("p")).dropna().distinct()
+    p = p.select("split", (F.col("p") * 100 / F.sum("p").over(Window.partitionBy(F.lit(0)))).alias("planned_pct"))
+    totals = got.groupBy("label").agg(F.sum("n").alias("t"))
+    # at most 500 labels times the splits of the plan
+    full = totals.join(F.broadcast(p)).join(got, ["label", "split"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return full.select("label", "split", n.alias("records"), (100 * n / F.col("t")).alias("share_pct"), "planned_pct")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = group_records(latest_records(table(spark, sf_dir, "export_records")))
     return groups.where("group_size > 1").select("record_id", "group_id")
@@ -155,6 +173,13 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that p3_splits reaches, by label and split."""
+    records, plan = table(spark, sf_dir, "export_records"), table(spark, sf_dir, "split_plan")
+    labels = ["plant_type", "variant", "difficulty_level"]
+    return split_shares(records, stage(stratified_splits(records, plan, labels)), plan, labels)
+
+
 P3_FOUND_SQL = r"""
 with recursive r as (
   select record_id, arg_max(base_id, exported_at) base_id, arg_max(doc_id, exported_at) doc_id,

@@ -160,6 +160,11 @@ def test_splits(spark):
     share = out["split"].value_counts(normalize=True)
     assert abs(share["development"] - 0.5) < 0.05 and abs(share["test"] - 0.35) < 0.05
     assert related.stratified_splits(frame(spark, REC, []), plan, ["plant_type"]).count() == 0
+    shares = related.split_shares(df, spark.createDataFrame(out), plan, ["plant_type", "variant"]).toPandas()
+    whole = shares[shares["label"] == "all"].set_index("split")
+    assert whole["records"].sum() == 400 and whole["planned_pct"].to_dict() == {"development": 50, "calibration": 15, "test": 35}
+    assert whole["records"].to_dict() == out["split"].value_counts().to_dict()
+    assert (shares.groupby("label")["share_pct"].sum() - 100).abs().max() < 1e-9 and (shares.groupby("label").size() == 3).all()
 
 
 # problem 4
@@ -189,6 +194,29 @@ def test_deficits_and_draw(spark):
     assert quota.deficits(u, frame(spark, TAR, []), ["provider"]).count() == 0
 
 
+def test_least_shortfall_is_a_bound():
+    """Against the best of all samples of small tables."""
+    import itertools
+
+    import pandas as pd
+
+    rnd = random.Random(14)
+    for _ in range(12):
+        cells = pd.DataFrame([(a, b, rnd.randrange(0, 4)) for a in "xy" for b in "uvw"], columns=["a", "b", "n"])
+        size = rnd.randrange(2, 7)
+        goals = pd.DataFrame(
+            [("a", c, size, rnd.choice([30.0, 50.0, 70.0]), rnd.randrange(0, 3)) for c in "xy"] + [("b", c, size, rnd.choice([20.0, 40.0, 60.0]), 1) for c in "uvw"],
+            columns=["dimension", "cat", "sample_size", "share_pct", "min_count"],
+        )
+        want = np.floor(np.maximum(goals["sample_size"] * goals["share_pct"] / 100, goals["min_count"]) + 1e-9)
+        least = min(
+            sum(max(0, w - sum(k for k, x in zip(take, cells[d]) if x == c)) for d, c, w in zip(goals["dimension"], goals["cat"], want))
+            for take in itertools.product(*[range(n + 1) for n in cells["n"]]) if sum(take) <= size
+        )
+        got_ = quota.least_shortfall(cells, goals, ["a", "b"])
+        assert got_ <= least + 1e-6 and got_ >= least - 1.5
+
+
 # problem 5
 def plain_distance(a, b):
     row_ = list(range(len(b) + 1))
