@@ -9,7 +9,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators.evaluation import purity
 from plumbline.operators.paths import both_ways, hop_distances
 from plumbline.plans.bindings import CLAIMS, ENTITY_RELATIONS, entity_relations
-from plumbline.plans.consistency import _CLASSED, _ORDER, _PARITY, _arity_of
+from plumbline.plans.consistency import _CLASSED, _COVER, _FIRST, _ORDER, _PARITY, _UNBALANCED, _arity_of
 from plumbline.plans.registry import Family
 from plumbline.session import stage, table
 
@@ -20,6 +20,16 @@ q = family.query
 _EDGES = "e as (select distinct least(u, v) u, greatest(u, v) v from (select l_partkey * 2 as u, l_suppkey * 2 + 1 as v from lineitem) g where u is not null and v is not null)"
 
 
+_FACTS = """f as (select l_suppkey as doc_id, l_orderkey * 10 + l_linenumber as fact_id, l_partkey as subject, l_linestatus as attribute, l_returnflag as value,
+ l_quantity > 45 as negated from lineitem)"""
+
+
+def _facts(spark, d):
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.col("l_partkey").alias("subject"),
+        F.col("l_linestatus").alias("attribute"), F.col("l_returnflag").alias("value"), (F.col("l_quantity") > 45).alias("negated"))
+
+
 def graph(spark, d):
     l = table(spark, d, "lineitem")
     return M.canonical_edges(l.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
@@ -77,6 +87,46 @@ def gm13_class_share(spark, d):
     return c.join(F.broadcast(c.agg(F.sum("n").alias("t")))).select("label", "n", (F.col("n") / F.col("t")).alias("share"))
 
 
+@q("gm13_spectra", floats="gap")
+def gm13_spectra(spark, d):
+    """Spectral gap, its multiplicity, connected parts and the Fiedler cut of every document's claim graph."""
+    from plumbline.operators.signed_graph import signed_edges
+    from plumbline.plans.bindings import relations
+
+    return M.spectra(signed_edges(relations(spark, d)).select("doc_id", "a", "b", "weight"))
+
+
+@q("gm13_parts", f"""with recursive {_FIRST}, two as (select doc_id, a u, b v from e union select doc_id, b, a from e), walk as (select distinct doc_id, u s, u v from two union select w.doc_id, w.s, t.v from walk w join two t on t.doc_id = w.doc_id and t.u = w.v),
+c as (select doc_id, s, min(v) r from walk group by 1, 2) select doc_id, count(*) as nodes, count(distinct r) as parts from c group by 1""")
+def gm13_parts(spark, d):
+    """How often the Laplacian of a document's claims has the eigenvalue 0: its connected parts."""
+    return gm13_spectra(spark, d).select("doc_id", "nodes", "parts")
+
+
+@q("gr7_balanced_documents", f"""with recursive {_FIRST}, s as (select doc_id, a, b, sign from e), {_COVER}, {_UNBALANCED}, d as (select distinct doc_id from ({CLAIMS}) q)
+select doc_id, doc_id not in (select doc_id from walk where s = v and p = 1) as balanced from d""")
+def gr7_balanced_documents(spark, d):
+    """Documents without conflict: the smallest eigenvalue of every component is exactly 0."""
+    from plumbline.operators.harmony import harmony
+    from plumbline.operators.signed_graph import signed_edges
+    from plumbline.plans.bindings import claims, pairs, relations
+
+    c = stage(claims(spark, d))
+    h = harmony(signed_edges(relations(spark, d, pairs(spark, d, c))), c)
+    return h.select("doc_id", (F.col("conflict") == 0).alias("balanced"))
+
+
+@q("rm18_support", f"""with {_FACTS}, n as (select doc_id, fact_id, unnest([fact_id - 1, fact_id - 2]) as need from f where fact_id % 10 > 2), m as (select n.doc_id, n.fact_id, count(*) filter (g.fact_id is null) as missing from n left join f g on g.doc_id = n.doc_id and g.fact_id = n.need group by 1, 2)
+select doc_id, count(*) as facts, count(*) filter (missing = 0) as supported, cast(sum(missing) as bigint) as missing from m group by 1""")
+def rm18_support(spark, d):
+    """Per document how many facts have all that they depend on, and how much is missing."""
+    f = stage(_facts(spark, d).select("doc_id", "fact_id"))
+    need = f.where("fact_id % 10 > 2").select("doc_id", "fact_id", F.explode(F.array(F.col("fact_id") - 1, F.col("fact_id") - 2)).alias("need"))
+    there = f.select("doc_id", F.col("fact_id").alias("need"), F.lit(1).alias("there")).distinct()
+    m = need.join(there, ["doc_id", "need"], "left").groupBy("doc_id", "fact_id").agg(F.count_if(F.col("there").isNull()).alias("missing"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("facts"), F.count_if(F.col("missing") == 0).alias("supported"), F.sum("missing").alias("missing"))
+
+
 @q("gm14_kmeans_purity")
 def gm14_kmeans_purity(spark, d):
     """Clusters of the embeddings and how far they follow the labels."""
@@ -120,16 +170,6 @@ def sh1_dirichlet_energy(spark, d):
     return M.dirichlet_energy(e, v).where("energy is not null")
 
 
-_FACTS = """f as (select l_suppkey as doc_id, l_orderkey * 10 + l_linenumber as fact_id, l_partkey as subject, l_linestatus as attribute, l_returnflag as value,
- l_quantity > 45 as negated from lineitem)"""
-
-
-def _facts(spark, d):
-    return table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.col("l_partkey").alias("subject"),
-        F.col("l_linestatus").alias("attribute"), F.col("l_returnflag").alias("value"), (F.col("l_quantity") > 45).alias("negated"))
-
-
 @q("sv1_value_conflicts", f"""with {_FACTS}, g as (select doc_id, subject, attribute, count(distinct value) filter (not negated) v, list_distinct(list(value) filter (not negated)) h, list_distinct(list(value) filter (negated)) l from f group by 1, 2, 3)
 select doc_id, subject, attribute, v as values, coalesce(len(list_intersect(h, l)), 0) as denied from g where v > 1 or coalesce(len(list_intersect(h, l)), 0) > 0""")
 def sv1_value_conflicts(spark, d):

@@ -211,6 +211,28 @@ def lk2_shared_runs(spark, d):
     return leak.search(table(spark, d, "documents"), "doc_id", table(spark, d, "eval_items"), "item_id")
 
 
+@q("jn16_gram_probe", f"""with {_GRAMS.format(key='item_id', t='eval_items')}, {_GRAMS.format(key='doc_id', t='documents').replace('w as', 'w2 as').replace('from w,', 'from w2,').replace('g as (', 'g2 as (')},
+i as (select g, count(*) items from g group by 1) select g2.k as doc_id, count(*) as runs, max(items) as widest, count(*) >= 2 as leaks from g2 join i using (g) group by 1""")
+def jn16_gram_probe(spark, d):
+    """Documents' word runs looked up in the index of all items' runs."""
+    from plumbline.operators.skew import lookup_join
+
+    i = leak.fingerprints(table(spark, d, "eval_items"), "item_id").groupBy("gram").agg(F.count("*").alias("items"))
+    n = lookup_join(leak.fingerprints(table(spark, d, "documents"), "doc_id"), i, "gram", i.select("gram", F.col("items").alias("n")), "inner")
+    return n.groupBy("doc_id").agg(F.count("*").alias("runs"), F.max("items").alias("widest"), (F.count("*") >= 2).alias("leaks"))
+
+
+@q("rm27_exclusions", f"""with {_GRAMS.format(key='item_id', t='eval_items')}, s as (select item_id, suite from eval_items), n as (select suite, count(distinct item_id) n from s group by 1),
+c as (select suite, g, count(*) c from g join s on s.item_id = g.k group by 1, 2) select suite, count(*) filter (2 * c > n) as shared, count(*) filter (2 * c <= n) as own from c join n using (suite) group by 1""")
+def rm27_exclusions(spark, d):
+    """Word runs that most of a suite's items share, as its instruction does, and those that a leak test counts."""
+    items = table(spark, d, "eval_items")
+    s = items.select("item_id", "suite").distinct()
+    n = s.groupBy("suite").agg(F.count_distinct("item_id").alias("n"))
+    c = leak.fingerprints(items, "item_id").join(s, "item_id").groupBy("suite", "gram").agg(F.count("*").alias("c")).join(n, "suite")
+    return c.groupBy("suite").agg(F.count_if(F.expr("2 * c > n")).alias("shared"), F.count_if(F.expr("2 * c <= n")).alias("own"))
+
+
 @q("lk2_exact_leaks", f"""with {_RECORDS}, i as (select record_id, {_PLAIN} t from r where text <> ''), e as (select doc_id, text from export_records where doc_id is not null),
 h as (select distinct doc_id, md5({_PLAIN}) h, text from e where text <> ''), m as (select distinct split_part(text, ' ', 2) mark from r where record_id % 50 = 0 and length(split_part(text, ' ', 2)) > 6)
 select distinct doc_id, cast(i.record_id as varchar) as found, 'text' as what from h join i on md5(i.t) = h.h union select distinct doc_id, mark, 'mark' from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) mark from h) w join m using (mark)""")

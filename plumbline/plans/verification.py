@@ -247,4 +247,22 @@ def rm24_canaries_caught(spark, d):
     return m.groupBy("canary", "kind").agg(F.count("*").alias("failures"), F.count_distinct(F.split_part("reviewer", F.lit(" "), F.lit(2))).alias("providers"))
 
 
+@q("vf4_measures", f"""with {_SENT}, w as (select record_id, pos, len(string_split(sentence, ' ')) n, regexp_matches(sentence, '[0-9]') cue, length(sentence) - length(replace(replace(replace(sentence, '"', ''), '“', ''), '”', '')) marks from s),
+g as (select record_id, pos - lag(pos) over (partition by record_id order by pos) gap from w where cue), lg as (select record_id, min(gap) gap from g group by 1), t as (select record_id, cast(sum(n) as bigint) n, cast(sum(marks) as bigint) marks, count(*) filter (cue) cues, coalesce(max(pos) filter (cue) - min(pos) filter (cue), 0) reach from w group by 1)
+select record_id, n as words, n between 100 - 25 and 100 + 25 as length_fits, marks % 2 = 0 as quotes_close, coalesce(lg.gap >= 2, true) as spaced, cues < 2 or reach >= 5 as spread from t left join lg using (record_id)""")
+def vf4_measures(spark, d):
+    """A text's length against a target of a hundred words, its quotation marks, and how its cues are spaced and spread."""
+    from pyspark.sql import Window
+
+    low, high = X.length_range(F.lit(100))
+    s = _sentences(spark, d).select("record_id", F.col("pos").cast("long").alias("pos"), F.size(F.split("sentence", " ")).alias("n"), F.col("sentence").rlike("[0-9]").alias("cue"),
+                                    (F.length("sentence") - F.length(F.regexp_replace("sentence", '["“”]', ""))).alias("marks"))
+    cue_pos = F.when(F.col("cue"), F.col("pos"))
+    before = F.last(cue_pos, True).over(Window.partitionBy("record_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("gap", cue_pos - before).withColumn("at", cue_pos)
+    g = s.groupBy("record_id").agg(F.sum("n").alias("words"), F.sum("marks").alias("marks"), F.count("at").alias("cues"), F.coalesce(F.max("at") - F.min("at"), F.lit(0)).alias("reach"), F.min("gap").alias("gap"))
+    return g.select("record_id", "words", F.col("words").between(low, high).alias("length_fits"), (F.col("marks") % 2 == 0).alias("quotes_close"),
+                    F.coalesce(F.col("gap") >= 2, F.lit(True)).alias("spaced"), ((F.col("cues") < 2) | (F.col("reach") >= 5)).alias("spread"))
+
+
 queries, oracle_sql = family.queries, family.oracle_sql
