@@ -32,8 +32,3 @@ def equal_but_different(facts: DataFrame, different: DataFrame) -> DataFrame:
     side = lambda k: v.select("doc_id", "attribute", F.col("subject").alias(k), F.col("value").alias(f"v{k}"))
     d = different.where("a <> b").join(side("a"), ["doc_id", "attribute", "a"]).join(side("b"), ["doc_id", "attribute", "b"])
     return d.where("va = vb").select("doc_id", "attribute", "a", "b", F.col("va").alias("value"))
-
-
-def too_few_values(different: DataFrame, arity: DataFrame) -> DataFrame:
-    """``(doc_id, attribute, subject)`` that differs from itself, however many values the attribute has."""
-    return different.where("a = b").join(arity, ["doc_id", "attribute"], "left").select("doc_id", "attribute", F.col("a").alias("subject")).distinct()

@@ -33,9 +33,9 @@ p as (select x.doc_id, x.claim_id a, y.claim_id b from c x join c y on x.doc_id
 k as (select *, row_number() over (partition by doc_id order by md5('8|' || doc_id || '|' || a || '|' || b)) rn, count(*) over (partition by doc_id) t from p)
 select doc_id, a, b, true as blind from k where rn <= ceil(t * 10 / 100.0) union all select doc_id, a, b, false from f2""")
 def jn2_blind_sample(spark, d):
-    """In documents of more than twelve claims (the reference's bound of 25 would leave none here): the pairs that were
-    proposed, and a seeded tenth, rounded up, of all others. The pairs are what is sampled, so each is made once; a
-    document's number of claims bounds them."""
+    """In documents of more than twelve claims (usually 25, which none here has): the pairs that were proposed, and a
+    seeded tenth, rounded up, of all others. The pairs are what is sampled, so each is made once; a document's number of
+    claims bounds them."""
     c = stage(claims(spark, d))
     f = S.first_wins(relations(spark, d, pairs(spark, d, c))).select("doc_id", "a", "b")
     big = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 12").select("doc_id")

@@ -180,11 +180,11 @@ def test_superlative_collision(spark):
 
 
 def test_superlatives(spark):
-    x = spark.createDataFrame([("d", 1, "age", "ana", "max")], "doc_id string, claim_id int, attribute string, entity string, side string")
-    p = spark.createDataFrame([("d", "age", n) for n in ("ana", "ben", "cy", "dee")], "doc_id string, attribute string, entity string")
-    c = spark.createDataFrame([("d", "age", "ana", "ana"), ("d", "age", "dee", "ana")], "doc_id string, attribute string, entity string, class string")
+    x = spark.createDataFrame([("d", 1, "age", "kit", "max")], "doc_id string, claim_id int, attribute string, entity string, side string")
+    p = spark.createDataFrame([("d", "age", n) for n in ("kit", "lee", "mae", "noa")], "doc_id string, attribute string, entity string")
+    c = spark.createDataFrame([("d", "age", "kit", "kit"), ("d", "age", "noa", "kit")], "doc_id string, attribute string, entity string, class string")
     out = entity_graph.expand_superlatives(x, p, c)
-    assert {(r.a, r.b) for r in out.collect()} == {("ana", "ben"), ("ana", "cy")}
+    assert {(r.a, r.b) for r in out.collect()} == {("kit", "lee"), ("kit", "mae")}
 
 
 def test_largest_remainder(spark):
