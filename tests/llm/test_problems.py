@@ -484,6 +484,47 @@ def test_queries_with_sql(spark, sf):
         assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, r.fetchall()), key=repr), name
 
 
+def test_reports(spark, sf):
+    """What the further queries say of the whole tables, checked against the tables and the operators they report on."""
+    from plumbline.llm.queries import queries
+
+    q = {k: f for k, f in queries().items()}
+    run = lambda name: q[name](spark, sf).toPandas()
+    load = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").toPandas()
+    reviewers = run("p2_reviewers")
+    votes = consensus.last_votes(spark.read.parquet(f"{sf}/decisions.parquet"))
+    assert reviewers["votes"].sum() == votes.count() and reviewers["reviewer"].is_unique
+    assert reviewers["reliability"].between(0, 1).all() and reviewers["follows_consensus"].between(0, 1).all()
+    report = run("p4_report")
+    assert len(report) == len(load("targets")) and (report["drawn"] <= report["available"]).all()
+    assert (report["least_shortfall"] <= report["run_missing"] + 1e-6).all()
+    drawn = run("p4_sample")
+    assert (report[report["dimension"] == "level"].groupby("run")["drawn"].sum().sum()) == len(drawn)
+    cover = run("p5_coverage")
+    assert (cover["covered"] <= cover["words"]).all() and (cover["covered"] >= 0).all() and cover["record_id"].is_unique
+    pairs_ = run("p5_found")
+    words = cover.set_index("record_id")
+    both = words.loc[sorted({*pairs_["record_id_1"], *pairs_["record_id_2"]})]
+    assert (both["covered"] > 0).mean() > 0.95  # a twin shares spans unless it is very short
+    p5 = run("p5_report")
+    assert p5["records"].sum() == len(both)
+    fill = run("p6_report")
+    sizes = packing.token_counts(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()["tokens"].sum()
+    assert (fill["tokens"] == sizes).all() and (fill["fill"] > 0.9).all() and (fill["fill"] <= 1).all()
+    leaked = run("p7_found")
+    assert set(run("p7_clean")["doc_id"]) == set(load("documents")["doc_id"]) - set(leaked["doc_id"])
+    assert run("p7_item_report")["documents"].sum() == len(leaked)
+    kinds = run("p1_defect_counts")
+    found = run("p1_found")["defect"].value_counts().to_dict()
+    assert {d: kinds[d].sum() for d in ("refusal", "empty", "copy", "truncated", "language")} == {d: found.get(d, 0) for d in ("refusal", "empty", "copy", "truncated", "language")}
+    shares = run("p3_report")
+    assert shares[shares["label"] == "all"]["records"].sum() == len(run("p3_splits"))
+    units = run("p8_units")
+    assert len(units) >= len(run("p8_found")) and (units["end_char"] > units["start_char"]).all()
+    agree = run("p2_consensus")
+    assert (agree[["p_accept", "p_discard", "p_regenerate"]].sum(1) - 1).abs().max() < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_found_columns(spark, sf, name):
     from plumbline.llm.queries import queries
