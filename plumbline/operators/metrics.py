@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.paths import both_ways, hop_distances
+from plumbline.operators.searches import shells
 from plumbline.session import stage
 
 
@@ -23,9 +24,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def ball_masses(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataFrame:
     """``(source, hops, mass)``: nodes within ``hops`` steps, from shells summed up; sources without edges have 1."""
-    shells = hop_distances(both_ways(edges), sources, limit).groupBy("source", "hops").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("hops").rowsBetween(Window.unboundedPreceding, 0)
-    return shells.select("source", "hops", F.sum("n").over(w).alias("mass"))
+    return shells(edges, sources, limit).select("source", "hops", F.sum("n").over(w).alias("mass"))
 
 
 def mass_dimension(masses: DataFrame, least: int = 3) -> DataFrame:

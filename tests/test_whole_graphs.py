@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
-from plumbline.operators import metrics
+import pyarrow as pa
+import pytest
+
+from plumbline.operators import metrics, searches
 from plumbline.operators.paths import both_ways, hop_distances
 from plumbline.plans import matching, ordered, structures
 
@@ -110,3 +113,59 @@ def test_cycles_of_up_to_six(spark):
     rows = [("d", "age", "greater", u, v) for u, v in edges]
     df = spark.createDataFrame(rows, "doc_id string, attribute string, kind string, a long, b long")
     assert {r.length: r.cycles for r in matching.order_cycles(df, 6).collect()} == dict(want) and want[6]
+
+
+def scattered():
+    """Components of every kind, far ids, repeats, loops, and sources with and without edges."""
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(9)] + [(10**12 + rnd.randrange(150), 10**12 + rnd.randrange(150)) for _ in range(400)]
+    edges += [(5_000 + 2 * i, 5_001 + 2 * i) for i in range(60)] + [(-7, -7), (-9, -8), (-8, -9), (700, 800)] + [(800, 801 + i) for i in range(90)]
+    rnd.shuffle(edges)
+    return edges, [0, 20, 40, -7, -8, 999, 5_003, 5_002, 800, 700, *range(10**12, 10**12 + 140)]
+
+
+@pytest.mark.parametrize("kernel", [1 << 20, 100, 0])
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_searches_by_component(spark, kernel, limit):
+    edges, sources = scattered()
+    near = neighbours(edges)
+    want = {(s, n): h for s in sources for n, h in search(near, s).items() if h <= limit}
+    e = spark.createDataFrame([*edges, (None, 3), (4, None)], "u long, v long").repartition(3)
+    s = spark.createDataFrame([(s,) for s in [*sources, None, 20]], "source long")
+    rows = searches.distances(e, s, limit, kernel).collect()
+    assert {(r.source, r.node): r.hops for r in rows} == want and len(rows) == len(want)
+    counts = {}
+    for (a, _), h in want.items():
+        counts[a, h] = counts.get((a, h), 0) + 1
+    rows = searches.shells(e, s, limit, kernel).collect()
+    assert {(r.source, r.hops): r.n for r in rows} == counts and len(rows) == len(counts)
+
+
+def test_searches_without_rows(spark):
+    none, one = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([(3,)], "source long")
+    assert [tuple(r) for r in searches.distances(none, one).collect()] == [(3, 3, 0)]
+    assert searches.shells(spark.createDataFrame([(1, 2)], "u long, v long"), one.where("source is null")).collect() == []
+
+
+def test_bundles_keep_every_edge(monkeypatch):
+    monkeypatch.setattr(searches, "ROW", 7)
+    edges, _ = scattered()
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*edges[i : i + 50])], ["u", "v"]) for i in range(0, len(edges), 50)]
+    for batch, many in ((1, len(batches)), (1 << 20, 1)):
+        monkeypatch.setattr(searches, "BATCH", batch)
+        rows = [r for b in searches._bundles(iter(batches)) for r in b.to_pylist()]
+        assert sorted(e for r in rows for e in zip(r["us"], r["vs"])) == sorted(edges)
+        assert all(len(r["us"]) <= 7 for r in rows)
+        nodes = [n for r in rows for n in r["nodes"]]
+        assert set(nodes) == {n for e in edges for n in e} and (many > 1 or len(nodes) == len(set(nodes)))
+
+
+def test_ball_masses_list_no_pairs(spark, monkeypatch):
+    """Masses come from counts made where a component is searched; no row stands for a pair of nodes."""
+    monkeypatch.setattr(metrics, "hop_distances", None)
+    monkeypatch.setattr(searches, "hop_distances", None)
+    edges, sources = scattered()
+    near = neighbours(edges)
+    rows = metrics.ball_masses(spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(s,) for s in sources], "source long")).collect()
+    want = {s: list(search(near, s).values()) for s in sources}
+    assert {(r.source, r.hops): r.mass for r in rows} == {(s, k): sum(h <= k for h in hs) for s, hs in want.items() for k in set(hs)}
