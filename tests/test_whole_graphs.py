@@ -169,3 +169,11 @@ def test_ball_masses_list_no_pairs(spark, monkeypatch):
     rows = metrics.ball_masses(spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(s,) for s in sources], "source long")).collect()
     want = {s: list(search(near, s).values()) for s in sources}
     assert {(r.source, r.hops): r.mass for r in rows} == {(s, k): sum(h <= k for h in hs) for s, hs in want.items() for k in set(hs)}
+
+
+@pytest.mark.parametrize("name", ["gm6_all_distances"])
+def test_graph_queries_take_no_rounds(spark, sf, monkeypatch, name):
+    """Graphs of a size that a task can hold are searched there; a round a hop is for larger ones."""
+    for where in (metrics, searches, structures):
+        monkeypatch.setattr(where, "hop_distances", None, raising=False)
+    assert structures.queries()[name](spark, sf).count() > 0
