@@ -51,8 +51,8 @@ def test_whole_graph_queries(spark, sf):
     near = neighbours({(r[0] * 2, r[1] * 2 + 1) for r in lines})
     want = {s: search(near, s) for s in suppliers}
     q = structures.queries
-    assert {(r.source, r.node, r.hops) for r in q()["gm6_all_distances", "gm6_hop_distances", "gm9_all_masses"](spark, sf).collect()} == {(s, n, h) for s in want for n, h in want[s].items()}
-    masses = {(r.source, r.hops): r.mass for r in q()["gm9_all_masses"](spark, sf).collect()}
+    assert {(r.source, r.node, r.hops) for r in q()["gm6_all_distances", "gm6_hop_distances", "gm9_all_masses", "gm9_mass_dimension"](spark, sf).collect()} == {(s, n, h) for s in want for n, h in want[s].items()}
+    masses = {(r.source, r.hops): r.mass for r in q()["gm9_all_masses", "gm9_mass_dimension"](spark, sf).collect()}
     assert masses == {(s, k): sum(h <= k for h in want[s].values()) for s in want for k in set(want[s].values())}
     _, first = farthest(search(near, min(near)))
     diameter, end = farthest(search(near, first))
@@ -171,7 +171,7 @@ def test_ball_masses_list_no_pairs(spark, monkeypatch):
     assert {(r.source, r.hops): r.mass for r in rows} == {(s, k): sum(h <= k for h in hs) for s, hs in want.items() for k in set(hs)}
 
 
-@pytest.mark.parametrize("name", ["gm6_all_distances", "gm6_hop_distances", "gm9_all_masses"])
+@pytest.mark.parametrize("name", ["gm6_all_distances", "gm6_hop_distances", "gm9_all_masses", "gm9_mass_dimension"])
 def test_graph_queries_take_no_rounds(spark, sf, monkeypatch, name):
     """Graphs of a size that a task can hold are searched there; a round a hop is for larger ones."""
     for where in (metrics, searches, structures):
