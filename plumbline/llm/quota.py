@@ -13,6 +13,7 @@ from plumbline.session import stage, table
 DIMENSIONS = ["plant_type", "level", "provider", "genre"]
 #: Acceptance probabilities are raised by this factor, so that most cells need only be cut down afterwards.
 OVERSAMPLE = 1.15
+SEED = 7
 
 
 def name_key(c: Column) -> Column:
@@ -146,16 +147,21 @@ def shortfalls(units: DataFrame, targets: DataFrame, dimensions: list[str] = DIM
     return counts.groupBy("run").cogroup(want.groupBy("run")).applyInPandas(bound, "run string, least_shortfall double")
 
 
-def draw(units: DataFrame, targets: DataFrame, dimensions: list[str] = DIMENSIONS, seed: int = 7) -> DataFrame:
+def draw(units: DataFrame, targets: DataFrame, dimensions: list[str] = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """``(run, unit_id, accepted)``: the sample of every run that ``targets`` names (names in normal form).
 
     Acceptance probabilities follow from the ratio of target to observed counts, raked over all dimensions on the
     table of category combinations (its size is bounded by the product of the categories); each unit is accepted by a
-    keyed hash with slight oversampling. Counts are then made exact: every combination keeps its quota of the units
-    with the smallest hashes, whether ``accepted`` or added to fill up. Units without a run or id, and units in a
-    category that no target of their run lists, are not drawn. Empty tables give an empty sample.
+    keyed hash with slight oversampling. Counts are then made exact: a combination with more accepted units than its
+    quota keeps those with the smallest hashes, one with fewer is filled up with rejected ones (not ``accepted``).
+    Units without a run or id, and units in a category that no target of their run lists, are not drawn. Empty tables
+    give an empty sample.
     """
-    u = stage(clean_units(units, dimensions))
+    return _drawn(stage(clean_units(units, dimensions)), targets, dimensions, seed).select("run", "unit_id", "accepted")
+
+
+def _drawn(u: DataFrame, targets: DataFrame, dimensions: list[str], seed: int) -> DataFrame:
+    """``draw`` from clean units, with their categories."""
     cell = F.concat_ws("|", "run", *[F.coalesce(d, F.lit("\u0000")) for d in dimensions])
     keyed = u.withColumn("cell", cell)
     want = targets.select(
@@ -176,18 +182,38 @@ def draw(units: DataFrame, targets: DataFrame, dimensions: list[str] = DIMENSION
     )
     sizes = counts.select("cell", "n")
     u01 = (F.xxhash64(F.lit(seed), "run", "unit_id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    drawn = lookup_join(keyed.select("run", "unit_id", "cell"), quotas, "cell", sizes, "inner").withColumn("u", u01)
-    ranked = salted_sum(drawn, ["cell"], [F.col("u"), F.col("unit_id")], F.floor(F.col("u") * 64), "rank")
-    return ranked.where("rank < quota").select("run", "unit_id", (F.col("u") < F.col("probability")).alias("accepted"))
+    tried = lookup_join(keyed.select("run", "unit_id", "cell", *dims), quotas, "cell", sizes, "inner").withColumn("u", u01)
+    tried = stage(tried.withColumn("accepted", F.col("u") < F.col("probability")).drop("probability"))
+    order, bucket = [F.col("u"), F.col("unit_id")], F.floor(F.col("u") * 64)
+    # what was accepted beyond the quota goes; where too little was, units that were rejected fill up
+    kept = salted_sum(tried.where("accepted"), ["cell"], order, bucket, "rank").where("rank < quota")
+    enough = tried.where("accepted").groupBy("cell").agg(F.count("*").alias("accepts"))
+    short = quotas.select("cell", "quota").join(enough, "cell", "left").select("cell", (F.col("quota") - F.coalesce("accepts", F.lit(0))).alias("lacks"))
+    short = stage(short.where("lacks > 0"))
+    rest = tried.where("not accepted")
+    if short.isEmpty():
+        filled = rest.where("false").withColumn("rank", F.lit(0).cast("long"))
+    else:
+        left = rest.groupBy("cell").agg(F.count("*").alias("n"))
+        rest = lookup_join(rest, short, "cell", left, "inner")
+        filled = salted_sum(rest, ["cell"], order, bucket, "rank").where("rank < lacks").drop("lacks")
+    return kept.unionByName(filled).select("run", "unit_id", *dims, "accepted")
 
 
 def deficits(units: DataFrame, targets: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataFrame:
-    """Target rows whose run has fewer distinct units of the category than called for, with both figures.
+    """Target rows that the sample of their run cannot meet: units ``drawn`` of the category and those to
+    ``spare``, all that a further correction could add, number fewer than called for. ``available`` is their sum.
 
     Null names count for no category; empty ``units`` make every row that calls for any unit a deficit.
     """
-    counted = category_counts(clean_units(units, dimensions), targets, dimensions)
-    return counted.where("available < called_for")
+    clean = stage(clean_units(units, dimensions))
+    sample = stage(_drawn(clean, targets, dimensions, SEED))
+    all_, named = category_counts(clean, targets, dimensions), ["run", "dimension", "category", "sample_size", "share_pct", "min_count"]
+    got = category_counts(sample, targets, dimensions).select(*named, F.col("available").alias("drawn"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in named]
+    met = all_.alias("x").join(got.alias("y"), same, "left").select("x.*", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    met = met.withColumn("spare", F.col("available") - F.col("drawn"))
+    return met.where(F.col("drawn") + F.col("spare") < F.col("called_for"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,24 @@ def test_deficits_and_draw(spark):
     assert quota.deficits(u, frame(spark, TAR, []), ["provider"]).count() == 0
 
 
+def test_deficits_follow_the_draw(spark):
+    """Accepted units first, rejected ones only where a combination lacks some; deficits are read off that sample."""
+    rnd = random.Random(9)
+    rows = [dict(unit_id=i, run="r", provider=rnd.choice("aaab"), level=rnd.randrange(1, 9)) for i in range(300)]
+    tar = [dict(run="r", sample_size=80, dimension=d, category=c, share_pct=s, min_count=0)
+           for d, c, s in (("provider", "a", 60.0), ("provider", "b", 40.0), ("provider", "c", 5.0), *(("level", str(k), 12.5) for k in range(1, 9)))]
+    u, t = frame(spark, UNI, rows), frame(spark, TAR, tar)
+    filled = [r.accepted for r in quota.draw(u, t, ["provider", "level"], 8).collect()]
+    assert set(filled) == {True, False} and len(filled) == 80
+    sample = {r.unit_id for r in quota.draw(u, t, ["provider", "level"]).collect()}
+    assert len(sample) == 80
+    drawn = {c: sum(r["provider"] == c for r in rows if r["unit_id"] in sample) for c in "abc"}
+    have = {c: sum(r["provider"] == c for r in rows) for c in "abc"}
+    got_ = {r.category: (r.drawn, r.spare, r.available) for r in quota.deficits(u, t, ["provider", "level"]).collect()}
+    short = {c for c, s in (("a", 60), ("b", 40), ("c", 5)) if have[c] < 80 * s / 100}
+    assert got_ == {c: (drawn[c], have[c] - drawn[c], have[c]) for c in short} and "c" in got_
+
+
 def test_least_shortfall_is_a_bound():
     """Against the best of all samples of small tables."""
     import itertools
