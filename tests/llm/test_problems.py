@@ -1,13 +1,16 @@
 """Edge cases of every training-data operator, and small cases with known answers."""
 
 import random
+import time
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from plumbline.llm import consensus, leakage, overlap, packing, pairs, quota, related, sentences
 from plumbline.llm.automaton import SuffixAutomaton
+from plumbline.session import shared_dir
 
 T0 = datetime(2026, 1, 1)
 LLM = "reply_id long, request string, output string, stop_reason string, schema_name string, model string, created_at timestamp, n long, ctx string, verdict string"
@@ -319,6 +322,44 @@ def test_coverage_over_many_ranges(spark, monkeypatch, block):
     assert overlap.span_coverage(frame(spark, REC, [])).count() == 0
 
 
+def test_overlap_in_turns(spark, monkeypatch):
+    """Suffixes, spans and texts that take turns give what they give at once."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(25):
+        base = [rnd.choice("abcdefghij") for _ in range(rnd.choice([2, 5, 9, 30]))]
+        for split in ("development", "test", "test"):
+            t = list(base)
+            t[rnd.randrange(len(t))] = rnd.choice("abcxyz")
+            rows.append(rec(len(rows), text=" ".join(t), split=split))
+    records = frame(spark, REC, rows)
+    once = got(overlap.cross_split_pairs(records)), got(overlap.span_coverage(records))
+    monkeypatch.setattr(overlap, "FEW", 40)
+    assert overlap.Compared(overlap.distinct_texts(records)[0]).turns == overlap.PASSES
+    assert (got(overlap.cross_split_pairs(records)), got(overlap.span_coverage(records))) == once and len(once[0]) > 10
+
+
+def test_overlap_frees_its_disk(spark):
+    """Shuffle files are gone once a step is staged, and of what is staged only the texts and the pairs remain."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {p for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    rows = [rec(i, text=" ".join(f"w{(i // 2 + j) % 37}" for j in range(20)), split="development" if i % 2 else "test") for i in range(40)]
+    records = frame(spark, REC, rows)
+    shared = Path(shared_dir(spark).removeprefix("file://"), "plumbline")
+    staged = lambda: {p.parent for p in shared.rglob("*.parquet")}
+    files, held = shuffled(), staged() if shared.exists() else set()
+    texts, members = overlap.distinct_texts(records)
+    pairs = overlap.candidates(texts)
+    kept = {Path(x._staged_at.removeprefix("file://")) for x in (texts, members, pairs)}
+    assert not pairs.isEmpty() and kept < staged() and len(staged() - held) <= 5  # besides these the texts' sides
+    for _ in range(100):  # they go in the background
+        left = sum(p.stat().st_size for p in shuffled() - files if p.exists())
+        if left < 5_000:
+            break
+        time.sleep(0.1)
+    assert left < 5_000
+
+
 def overlap_words(text):
     return [w for w in "".join(c if c.isalnum() or c.isspace() else "" for c in (text or "").lower()).split() if w]
 
