@@ -6,6 +6,7 @@ from datetime import datetime
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import consensus, leakage, overlap, packing, pairs, quota, related, sentences
@@ -360,6 +361,22 @@ def test_overlap_frees_its_disk(spark):
     assert left < 5_000
 
 
+def test_overlap_packs_its_suffixes():
+    """Suffixes go to their ranges packed, not a row each; none is lost, and equal heads fall into several ranges."""
+    texts = [[5, 6, 7]] * 40 + [[i, i + 1] for i in range(9)]
+    starts = [sum(map(len, texts[:i])) for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(starts), pa.array([1 + i % 2 for i in range(len(texts))]), pa.array(texts, pa.list_(pa.int64()))], ["start", "side", "words"])
+    rows = [r for b in overlap._sampled(1 << 12, 1, 1)(iter([batch])) for r in b.to_pylist()]
+    keys = sorted((r["k0"], r["k1"], r["tie"]) for r in rows)
+    bounds = tuple(np.array(x) for x in zip(*keys[10::10]))
+    packs = [r for b in overlap._suffixes(1 << 12, 0, 1, bounds)(iter([batch])) for r in b.to_pylist()]
+    assert len(packs) == len(bounds[0]) + 1 < len(rows) == sum(map(len, texts))
+    got = [overlap._numbers(r["pack"], 3) for r in packs]
+    assert sorted(x >> 2 for g in got for x in g[0].tolist()) == list(range(len(rows)))
+    ends = [((g[1][0], g[2][0]), (g[1][-1], g[2][-1])) for g in got]
+    assert ends == sorted(ends) and sum(a == b for a, b in ends) > 5
+
+
 def overlap_words(text):
     return [w for w in "".join(c if c.isalnum() or c.isspace() else "" for c in (text or "").lower()).split() if w]
 
