@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -177,3 +178,40 @@ def test_graph_queries_take_no_rounds(spark, sf, monkeypatch, name):
     for where in (metrics, searches, structures):
         monkeypatch.setattr(where, "hop_distances", None, raising=False)
     assert structures.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("chunk", [0, 1, 64, 1 << 18])
+def test_words_follow_edges(monkeypatch, chunk):
+    """Several words of sources at once reach what plain searches reach, whichever end the edges are followed from."""
+    monkeypatch.setattr(searches, "CHUNK", max(chunk, 1))
+    rnd = random.Random(11)
+    n, many = 700, 150
+    near = neighbours([(rnd.randrange(n), rnd.randrange(n)) for _ in range(2 * n)] + [(0, i) for i in range(300, 400)])
+    lists = [sorted(near[u]) for u in range(n)]
+    start = np.cumsum([0, *map(len, lists)])
+    flat = np.array([v for x in lists for v in x], np.int32)
+    bit = np.arange(many)
+    new = np.zeros((n, 3), np.uint64)
+    new[bit * 4, bit // 64] = np.left_shift(np.uint64(1), (bit % 64).astype(np.uint64))
+    full = np.bitwise_or.reduce(new, axis=0)
+    known, got = new.copy(), []
+    while new.any():
+        got.append(searches._bit_counts(new)[:many])
+        new = searches._follow(new, known, full, start, flat)
+        known |= new
+    want = [list(search(near, s * 4).values()) for s in range(many)]
+    assert [[x.count(h) for h in range(len(got))] for x in want] == np.array(got).T.tolist()
+
+
+def test_large_components_take_no_rounds(spark, monkeypatch):
+    """Components above the kernel's size are held by every task, which has some sources; no row stands for a pair."""
+    monkeypatch.setattr(searches, "hop_distances", None)
+    edges, sources = scattered()
+    near = neighbours(edges)
+    e, s = spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(s,) for s in sources], "source long")
+    rows = searches.shells(e, s, kernel=100).collect()
+    want = {s: list(search(near, s).values()) for s in sources}
+    assert {(r.source, r.hops): r.n for r in rows} == {(s, k): hs.count(k) for s, hs in want.items() for k in set(hs)}
+    monkeypatch.undo()
+    monkeypatch.setattr(searches, "WIDE", 0)
+    assert sorted(map(tuple, searches.shells(e, s, kernel=100).collect())) == sorted(map(tuple, rows))
