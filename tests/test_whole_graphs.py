@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -215,3 +216,14 @@ def test_large_components_take_no_rounds(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(searches, "WIDE", 0)
     assert sorted(map(tuple, searches.shells(e, s, kernel=100).collect())) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("name", ["gm9_all_masses"])
+def test_graph_queries_of_large_components(spark, sf, monkeypatch, name):
+    """A component above the kernel's size gives the same rows, without a round a hop."""
+    whole = sorted(map(tuple, structures.queries()[name](spark, sf).collect()))
+    monkeypatch.setattr(searches, "hop_distances", None)
+    monkeypatch.setattr(structures, "distances", partial(searches.distances, kernel=10))
+    monkeypatch.setattr(metrics, "shells", partial(searches.shells, kernel=10))
+    got = sorted(map(tuple, structures.queries()[name](spark, sf).collect()))
+    assert whole and [tuple(round(x, 9) for x in r) for r in got] == [tuple(round(x, 9) for x in r) for r in whole]
