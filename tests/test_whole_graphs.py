@@ -218,7 +218,7 @@ def test_large_components_take_no_rounds(spark, monkeypatch):
     assert sorted(map(tuple, searches.shells(e, s, kernel=100).collect())) == sorted(map(tuple, rows))
 
 
-@pytest.mark.parametrize("name", ["gm9_all_masses", "gm9_mass_dimension", "gm6_all_distances"])
+@pytest.mark.parametrize("name", ["gm9_all_masses", "gm9_mass_dimension", "gm6_all_distances", "gm6_hop_distances"])
 def test_graph_queries_of_large_components(spark, sf, monkeypatch, name):
     """A component above the kernel's size gives the same rows, without a round a hop."""
     whole = sorted(map(tuple, structures.queries()[name](spark, sf).collect()))
